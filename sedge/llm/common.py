@@ -61,3 +61,22 @@ def fit_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int =
     rows = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
     got = sorted((r.doc_id, r.text, r.y) for r in rows.toLocalIterator())
     return [r[1] for r in got], [r[2] for r in got]
+
+
+class Cache(dict):
+    """cache[key] is make(key), kept in two generations of at most `limit` short keys each."""
+
+    def __init__(self, make, limit: int = 500_000, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

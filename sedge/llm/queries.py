@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from sedge.llm import quality, toxicity
+from sedge.llm import bpe, neardup, packing, quality, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op5_quality": quality.op5_quality,
+        "op6_bpe": bpe.op6_bpe,
+        "op7_token_counts": token_counts.op7_token_counts,
+        "op8_neardup": neardup.op8_neardup,
+        "op10_packing": packing.op10_packing,
     }
 
 
