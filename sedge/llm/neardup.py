@@ -6,9 +6,10 @@
    the number of leading zeros and MANTISSA bits after the first one; an empty bucket borrows
    from the next one that is not, with the distance mixed in. ROWS registers in a row make a band.
 3. Classes that agree on a band are candidates. No bucket gives all its pairs: every member is
-   compared with one hub, links merge components, and only members of other components go on to a
-   next hub. After ROUNDS rounds the pairs of different components that some bucket still joins
-   are all compared, so no candidate pair is left out except inside a component.
+   first compared with one hub, the member with the most crowded bands, and links merge components.
+   The texts that some bucket then still joins across components are compared pair by pair, less
+   the pairs that exact bounds rule out (rarest shingles first). So no candidate pair is left out
+   except inside a component.
 4. A candidate's similarity is estimated from the registers, less the collisions expected by
    chance; pairs that may reach the threshold are confirmed on the full shingle sets of the texts.
 5. Components come from min-label star contraction; nothing is gathered in the driver.
@@ -20,17 +21,16 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.llm import common
 
 REGISTERS, ROWS, MANTISSA = 96, 4, 10
 BANDS = REGISTERS // ROWS
-ROUNDS = 3
-#: Below this many shingles registers repeat too much for an estimate to rule a pair out.
-SMALL = 200
-SLACK = 0.20
+#: How far an estimate may be off (in standard errors), and below how many shingles registers
+#: repeat each other, which makes it coarser.
+ERRORS, SMALL = 5.5, REGISTERS
 #: Chance that two registers of different hashes agree: about 2^-MANTISSA / 3 summed over zeros.
 COLLISION = 2.0**-MANTISSA / 1.5
 
@@ -150,10 +150,13 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, REGISTERS) for c in ("ra", "rb"))
             same = (x == y).mean(axis=1)
             estimate = np.maximum(same - COLLISION, 0) / (1 - COLLISION)
-            keep = (estimate >= percent / 100 - SLACK) | (np.asarray(batch.column("small")))
+            n = np.asarray(batch.column("n"))
+            p = percent / 100
+            slack = ERRORS * np.sqrt(p * (1 - p) * (1 / REGISTERS + np.where(n < SMALL, 2 / n, 0)))
+            keep = estimate >= p - slack
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "ra", "rb", (F.least("na", "nb") < SMALL).alias("small")).mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ra", "rb", F.least("na", "nb").alias("n")).mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -203,45 +206,73 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int, rounds: int = ROUNDS) -> DataFrame | None:
+def tokens(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id, s: the distinct shingles of the texts of these ids."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t.as_py(), words) for t in batch.column("text")]
+            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), [len(h) for h in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["id", "s"])
+
+    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, s long")
+
+
+def contenders(at: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels among the texts that a bucket joins across labels, less
+    those whose bounds rule the similarity out. The bounds are exact, so no link is lost.
+
+    at has key, id, label. First, a text of n shingles of which u are in no other text at hand can
+    have no link if 100 * (n - u) < percent * n. The shingles of those that remain are put in one
+    order, the rarest first. If the first that two texts share stands at i and j, they share at
+    most min(na - i, nb - j), so a pair is only made where that may do: texts meet at rare shingles.
+    """
+    open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    open_ids = common.stash(at.join(open_keys, "key").select("id", "label").distinct(), "open")
+    sizes = sketches.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    several = F.col("copies") > 1  # an id with several texts has no bounds
+    alone = tokens(texts, open_ids, words).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other").groupBy("id").agg(F.count("*").alias("u"))
+    rest = open_ids.join(sizes, "id").join(alone, "id", "left").filter(several | (100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * F.col("n"))).select("id", "label", "n", several.alias("several"))
+    rest = common.stash(rest, "contenders")
+    each = common.stash(tokens(texts, rest, words), "shingles")
+    shared = each.join(each.groupBy("s").agg(F.count("*").alias("texts")).filter("texts > 1"), "s")
+    by_id = Window.partitionBy("id")
+    placed = shared.join(rest, "id").withColumn("at", F.row_number().over(by_id.orderBy("texts", "s")) - 1 + F.col("n") - F.count("*").over(by_id))
+    placed = placed.select("s", "id", "label", "n", F.when(F.col("several"), None).otherwise(F.col("n") - F.col("at")).alias("most")).filter(F.col("most").isNull() | (100 * F.col("most") >= percent * F.col("n")))
+    placed = common.stash(placed, "prefixes")
+    one = placed.select("s", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("most").alias("ma"))
+    two = placed.select(F.col("s").alias("t"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+    least = F.least("ma", "mb")
+    fits = F.col("ma").isNull() | F.col("mb").isNull() | (100 * least >= percent * (F.col("na") + F.col("nb") - least))
+    return one.join(two, (F.col("s") == F.col("t")) & (F.col("la") < F.col("lb")) & fits).select("a", "b")
+
+
+def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
     """labels (id, label) of the classes that are linked with another one; None if there are none."""
-    spark = classes.sparkSession
     keys = common.stash(banded(classes), "bands")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    keys = common.stash(keys.join(shared.select("key"), "key"), "shared-bands")
+    keys = common.stash(keys.join(shared, "key"), "shared-bands")
     sketches = common.stash(classes.join(keys.select("id").distinct(), "id", "left_semi"), "sketches")
     texts = common.stash(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sketches.select("id"), "id", "left_semi"), "texts")
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    tested: DataFrame | None = None
-    for turn in range(rounds + 1):
-        at = keys.withColumn("label", F.col("id")) if labels is None else keys.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        if turn < rounds:
-            hubs = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("label", F.lit(turn)) if turn else F.col("label"), F.col("id"))).alias("h")).filter("lo < hi")
-            found = at.join(hubs.select("key", F.col("h.id").alias("hub")), "key").filter("id <> hub")
-            if turn == 0:  # of the hubs of its bands, each member takes the most frequent
-                votes = found.groupBy("id", "hub").agg(F.count("*").alias("n"))
-                pairs = votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("w")).select((-F.col("w.h")).alias("a"), F.col("id").alias("b"))
-            else:
-                other = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-                pairs = found.join(other, "hub", "left").filter(F.col("label") != F.coalesce("hub_label", "hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        else:
-            open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-            left = at.join(open_keys, "key")
-            pairs = left.select("key", F.col("id").alias("a"), F.col("label").alias("la")).join(left.select("key", F.col("id").alias("b"), F.col("label").alias("lb")), "key").filter("la < lb").select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.stash(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = common.stash(confirmed(plausible(pairs, sketches, percent), texts, words, percent), "links")
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.unionByName(new)
-        labels = common.stash(components(links), "labels")
-    return labels
+    ordered = lambda pairs: common.stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+    # the hub of a band is the member whose bands are the most crowded: the centre of its group
+    crowd = keys.join(keys.groupBy("id").agg(F.sum("n").alias("crowd")), "id")
+    hubs = crowd.groupBy("key").agg(F.max(F.struct("crowd", (-F.col("id")).alias("hub"))).alias("h"))
+    found = keys.join(hubs.select("key", "h"), "key").select("id", (-F.col("h.hub")).alias("hub"), F.col("h.crowd").alias("crowd")).filter("id <> hub")
+    votes = found.groupBy("id", "hub").agg(F.count("*").alias("n"), F.max("crowd").alias("crowd"))
+    chosen = votes.groupBy("id").agg(F.max(F.struct("n", "crowd", (-F.col("hub")).alias("h"))).alias("w")).select((-F.col("w.h")).alias("a"), F.col("id").alias("b"))
+    tested = ordered(chosen)
+    links = common.stash(confirmed(plausible(tested, sketches, percent), texts, words, percent), "links")
+    labels = None if links.isEmpty() else common.stash(components(links), "labels")
+
+    at = keys.select("key", "id")
+    at = at.withColumn("label", F.col("id")) if labels is None else at.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    rest = ordered(contenders(at, texts, sketches, words, percent)).join(tested, ["a", "b"], "left_anti")
+    new = common.stash(confirmed(plausible(rest, sketches, percent), texts, words, percent), "links")
+    if new.isEmpty():
+        return labels
+    return common.stash(components(new if labels is None else links.unionByName(new)), "labels")
 
 
 def groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
