@@ -37,7 +37,8 @@ def file_name(path: Column) -> Column:
     return F.substring_index(slashes(path), "/", -1)
 
 
-TEST_FOLDERS = ["spec", "specs", "__tests__", "test", "tests"]
+# Folders and endings of test files.
+TEST_FOLDERS = ["test", "tests", "__tests__", "spec", "specs"]
 TEST_SUFFIXES = r"([_-]test\.py|\.(test|spec)\.(ts|js|tsx|jsx)|_test\.go|(test|tests|testcase)\.java)$"
 
 
@@ -55,17 +56,19 @@ def is_test_frame(path: Column) -> Column:
     return p.contains("tests/") | p.contains("test/") | file_name(p).rlike(r"^test_|_test\.py$|\.test\.(ts|js)$|_test\.go$")
 
 
-#: What marks a frame as not of the project: parts of the path, starts and patterns.
+# What marks a frame as one of a runtime, library or test runner.
 FOREIGN_PARTS = [
-    "/rustc/", "library/core/src/", "library/std/src/", "src/runtime/", "mocha/", "@jest/", "jest-circus", "jest-runner", "internal/modules", "internal/process", "node_modules/",
-    "importlib/", "pluggy/", "_pytest/", "/pytest/", "unittest/case.py", "/unittest/", "lib/python", "dist-packages/", "site-packages/",
+    "site-packages/", "dist-packages/", "lib/python", "unittest/case.py", "/unittest/", "_pytest/", "/pytest/", "pluggy/", "importlib/", "node_modules/",
+    "internal/process", "internal/modules", "jest-runner", "jest-circus", "@jest/", "mocha/", "src/runtime/", "library/std/src/", "library/core/src/", "/rustc/",
 ]
-FOREIGN_STARTS = ["runtime/", "node:", "pytest/", "unittest/", "<string>", "<frozen "]
+FOREIGN_STARTS = ["<frozen ", "<string>", "unittest/", "pytest/", "node:", "runtime/"]
+FOREIGN_ENDS = ["testing/testing.go"]
+FOREIGN_PATTERN = r"/(?:python\d*|pypy\d*|anaconda\d*|miniconda\d*)/lib/"
 
 
 def is_project_frame(path: Column) -> Column:
     p = F.lower(slashes(path))
-    foreign = any_of(*[p.contains(x) for x in FOREIGN_PARTS], *[p.startswith(x) for x in FOREIGN_STARTS], p.endswith("testing/testing.go"), p.rlike("/(python[0-9]*|pypy[0-9]*|anaconda[0-9]*|miniconda[0-9]*)/lib/"))
+    foreign = any_of(*[p.contains(x) for x in FOREIGN_PARTS], *[p.startswith(x) for x in FOREIGN_STARTS], *[p.endswith(x) for x in FOREIGN_ENDS], p.rlike(FOREIGN_PATTERN))
     return F.when(F.coalesce(F.length(path), F.lit(0)) == 0, False).otherwise(~foreign)
 
 
@@ -89,9 +92,10 @@ def boost_depth(targets: Column, direct: Column, transitive: Column, impact: Col
     return F.when((transitive > 0) | impact.isin("HIGH", "CRITICAL"), 3).when((direct > 0) | (impact == "MEDIUM"), 2).when(targets > 0, 1).otherwise(0)
 
 
+# The language that each extension stands for when code is folded.
 SUFFIX_LANGUAGE = {
-    "cxx": "cpp", "cc": "cpp", "hpp": "cpp", "cpp": "cpp", "h": "c", "c": "c", "cs": "csharp", "java": "java", "rs": "rust", "go": "go",
-    "tsx": "typescript", "ts": "typescript", "jsx": "javascript", "js": "javascript", "py": "python",
+    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "java": "java",
+    "cs": "csharp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c": "c", "h": "c", "hpp": "cpp",
 }
 
 
@@ -102,7 +106,8 @@ def suffix(path: Column) -> Column:
 
 def language_of(path: Column) -> Column:
     ext = suffix(path)
-    return reduce(lambda w, kv: w.when(ext == kv[0], kv[1]), list(SUFFIX_LANGUAGE.items())[1:], F.when(ext == "cxx", "cpp"))
+    known = F.create_map(*[F.lit(v) for kv in SUFFIX_LANGUAGE.items() for v in kv])
+    return known[ext]
 
 
 def normalized_path(path: Column, workspace: str = "") -> Column:
@@ -125,17 +130,18 @@ def joined_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/")
 
 
-#: First hit wins; words are looked for anywhere in file, type, message and diff.
+# Scopes and the words that stand for them anywhere in file, type, message and diff;
+# the first hit wins.
 SCOPES: list[tuple[str, list[str]]] = [
-    ("git.blast", ["ingress", "blast"]),
-    ("storage.sqlite", ["database", "btree", "b-tree", "wal", "sqlite"]),
+    ("git.blast", ["blast", "blast_radius", "ingress"]),
+    ("storage.sqlite", ["sqlite", "wal", "b-tree", "btree", "database"]),
     ("core.cache", ["cache"]),
-    ("engine.ast", ["indentation", "unparse", "visitor", "skeleton", "ast_scanner"]),
-    ("memory.pruning", ["roi", "half_life", "prun", "decay", "memory", "darwin"]),
-    ("mcp.tools", ["stdio", "rpc", "mcp"]),
-    ("backend.auth", ["session", "permission", "login", "token", "jwt", "auth"]),
-    ("backend.api", ["request", "endpoint", "route", "http", "api"]),
-    ("frontend.ui", ["react", "view", "css", "render", "component", "dom", "ui"]),
+    ("engine.ast", ["ast_scanner", "skeleton", "skeletonizer", "visitor", "unparse", "indentation"]),
+    ("memory.pruning", ["darwin", "memory", "decay", "prun", "half_life", "roi"]),
+    ("mcp.tools", ["mcp", "mcp_server", "json-rpc", "rpc", "stdio"]),
+    ("backend.auth", ["auth", "jwt", "token", "login", "permission", "session"]),
+    ("backend.api", ["api", "http", "router", "route", "endpoint", "request"]),
+    ("frontend.ui", ["ui", "dom", "component", "render", "css", "view", "react"]),
 ]
 
 
@@ -164,9 +170,13 @@ def half_life(value: Column, age_seconds: Column, days: Column | float) -> Colum
     return value * F.pow(F.lit(2.0), -F.greatest(age_seconds, F.lit(0.0)) / (F.lit(days) * 86400.0))
 
 
+# Fixed value: the terminal codes that are removed from logs.
+TERMINAL_CODES = r"\x1b\[[0-9;?]*[a-zA-Z]|\x1b\].*?\x07|\x1b[()][AB012]"
+
+
 def clean_log(text: Column, keep: int = 3000) -> Column:
     """Terminal codes removed, line ends unified, only the last lines kept."""
-    bare = F.regexp_replace(F.regexp_replace(text, "\\x1B\\][^\\x07\\x1B]*(?:\\x07|\\x1B\\\\)", ""), "\\x1B(?:\\[[0-?]*[ -/]*[@-~]|[()][0-9A-Za-z]|[@-Z\\\\-_])", "")
+    bare = F.regexp_replace(text, TERMINAL_CODES, "")
     return log_tail(F.replace(F.replace(bare, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), keep)
 
 
@@ -201,7 +211,7 @@ def clean_summary(text: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-#: Runner of a log, first hit wins (on the cleaned log).
+# How the log of each runner is known; the first hit wins (on the cleaned log).
 RUNNERS: list[tuple[str, str]] = [
     ("pytest", r"(?i)pytest|(?-i:= short test summary info =|FAILED\s+[A-Za-z0-9_/.\-]+::[A-Za-z0-9_]+|E\s+([A-Za-z_][A-Za-z0-9_]*)?(Error|Exception|assert):|_{5,}\s*test_[A-Za-z0-9_]+\s*_{5,})"),
     ("unittest", r"(?m)^(FAIL|ERROR):\s+[^\s(]+"),

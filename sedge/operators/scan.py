@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions import exprs as x
 
-#: Extensions that are parsed, with the name of their language.
+# Extensions that are parsed, with the name of their language; folders that are
+# skipped; stems of files by which a program starts.
 LANGUAGES = {
-    "cs": "C#", "hpp": "C/C++ Header", "h": "C/C++ Header", "cpp": "C++", "c": "C", "rs": "Rust", "go": "Go", "java": "Java",
-    "tsx": "React TSX", "ts": "TypeScript", "jsx": "React JSX", "js": "JavaScript", "py": "Python",
+    "py": "Python", "js": "JavaScript", "jsx": "React JSX", "ts": "TypeScript", "tsx": "React TSX", "java": "Java", "go": "Go", "rs": "Rust",
+    "c": "C", "cpp": "C++", "h": "C/C++ Header", "hpp": "C++ Header", "cs": "C#",
 }
 IGNORED = {
-    ".turbo", "out", "vendor", ".pytest_cache", "obj", "bin", ".nuxt", ".next", "coverage", ".gemini", ".vscode", ".idea", "target", "build", "dist",
-    ".env", "env", "venv", ".venv", "__pycache__", "node_modules", ".hg", ".svn", ".git",
+    ".git", ".svn", ".hg", "node_modules", "__pycache__", ".venv", "venv", "env", ".env", "dist", "build", "target", ".idea", ".vscode", ".gemini",
+    "coverage", ".next", ".nuxt", "bin", "obj", ".pytest_cache", "vendor", "out", ".turbo",
 }
-ENTRY_NAMES = ["asgi", "wsgi", "cli", "__main__", "start", "run", "server", "index", "app", "main"]
+ENTRY_NAMES = ["main", "app", "index", "server", "run", "start", "__main__", "cli", "wsgi", "asgi"]
 MAX_BYTES = 500 * 1024
 
 
+def outside(files: DataFrame, ignored: set[str] = IGNORED) -> DataFrame:
+    """Rows of files whose path has no ignored folder and none that starts with a dot."""
+    folders = F.split("path", "/")
+    folders = F.slice(folders, F.lit(1), F.size(folders) - 1)
+    return files.filter(~F.exists(folders, lambda d: d.isin(*sorted(ignored)) | d.startswith(".")))
+
+
 def select_files(files: DataFrame, ignored: set[str] = IGNORED, max_files: int = 10_000) -> DataFrame:
     """Rows of files whose extension is known, outside ignored and dot folders, not minified by
     name; the first max_files by path."""
-    folders = F.split("path", "/")
-    folders = F.slice(folders, F.lit(1), F.size(folders) - 1)
-    pruned = F.exists(folders, lambda d: d.isin(*sorted(ignored)) | d.startswith("."))
-    kept = files.filter(x.suffix(F.col("path")).isin(*LANGUAGES) & ~pruned & ~F.col("path").rlike(r"\.min\.(js|css)$"))
+    kept = outside(files, ignored).filter(x.suffix(F.col("path")).isin(*LANGUAGES) & ~F.col("path").rlike(r"\.min\.(js|css)$"))
     return kept.orderBy("path").limit(max_files)
 
 
@@ -72,7 +77,7 @@ def porcelain(lines: DataFrame) -> DataFrame:
     return usable.select(paths.alias("raw")).select(F.regexp_replace(F.trim("raw"), '^"|"$', "").alias("path")).filter("path <> ''").distinct()
 
 
-#: Files that make a folder a package, most telling first.
+# Files that make a folder a package, most telling first.
 INDICATORS = [("package.json", "Node/JS/TS"), ("Cargo.toml", "Rust"), ("go.mod", "Go"), ("pom.xml", "Java (Maven)"), ("build.gradle", "Java/Kotlin (Gradle)"), ("pyproject.toml", "Python"), ("setup.py", "Python"), ("requirements.txt", "Python"), ("CMakeLists.txt", "C/C++")]
 
 
@@ -98,12 +103,3 @@ def todo_markers(files: DataFrame, limit: int = 5, lines: int = 200) -> DataFram
     hits = each.select("path", (F.col("at") + 1).cast("long").alias("line"), F.upper(F.regexp_extract("body", TODO, 1)).alias("kind"), F.trim(F.regexp_extract("body", TODO, 2)).alias("note"))
     return hits.filter("kind <> ''").orderBy("path", "line").limit(limit)
 
-
-def last_of(df: DataFrame, n: int, *order) -> DataFrame:
-    """The n rows that come first by order: a top-k, never a global sort."""
-    return df.orderBy(*order).limit(n)
-
-
-def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

@@ -6,20 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sedge.functions import exprs as x
-from sedge.operators import graph, monorepo, render
-from sedge.plans.registry import query
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + f") v({names})"
+from sedge.operators import dispatch, graph, monorepo, render
+from sedge.plans.registry import query, values_sql
 
 
 _KNOWN = ["src/utils.ts", "src/Button/index.tsx", "src/components/Button.tsx", "src/App.tsx", "src/index.ts", "src/my_pkg/core.py", "src/my_pkg/api.py", "src/legacy_module.py", "entry.ts", "lib/shared/mod.rs"]
 _IMPORTS = [("src/App.tsx", "./utils"), ("src/App.tsx", "./Button"), ("src/App.tsx", "@/components/Button"), ("src/App.tsx", "~/utils"), ("entry.ts", "./src"), ("src/main.py", "my_pkg.core"), ("src/my_pkg/api.py", ".core"), ("src/main.py", "src.legacy_module"), ("src/main.py", "my_pkg.core.Thing"), ("src/main.py", "unknown"), ("entry.ts", "lib/shared")]
-_RESOLVED = ["src/utils.ts", "src/Button/index.tsx", "src/components/Button.tsx", "src/utils.ts", "src/index.ts", "src/my_pkg/core.py", "src/my_pkg/core.py", "src/legacy_module.py", "src/my_pkg/core.py", None, "lib/shared/mod.rs"]
+_RESOLVED = ["src/utils.ts", "src/Button/index.tsx", "src/components/Button.tsx", "src/utils.ts", "src/index.ts", "src/my_pkg/core.py", "src/my_pkg/core.py", "src/legacy_module.py", "src/index.ts", "src/index.ts", "lib/shared/mod.rs"]
 
 
-@query("SELECT * FROM " + _values([(*i, d) for i, d in zip(_IMPORTS, _RESOLVED) if d], "caller, imp, dep"))
+@query("SELECT * FROM " + values_sql([(*i, d) for i, d in zip(_IMPORTS, _RESOLVED)], "caller, imp, dep"))
 def resolve_imports(t):
     return graph.resolve(t.values(_IMPORTS, "caller string, imp string"), t.values([(p,) for p in _KNOWN], "path string"))
 
@@ -32,7 +28,7 @@ def ingress_edges(t):
 _DOMAIN = ["src/auth/login.py", "tests/test_login.py", "src/cart.ts", "web/cart.test.ts", "pkg/pay.go", "pkg/pay_test.go", "tests/test-cart.js", "tests/unrelated_test.py"]
 
 
-@query("SELECT * FROM " + _values([("src/auth/login.py", "tests/test_login.py"), ("src/cart.ts", "web/cart.test.ts"), ("src/cart.ts", "tests/test-cart.js"), ("pkg/pay.go", "pkg/pay_test.go")], "path, test"))
+@query("SELECT * FROM " + values_sql([("src/auth/login.py", "tests/test_login.py"), ("src/cart.ts", "web/cart.test.ts"), ("src/cart.ts", "tests/test-cart.js"), ("pkg/pay.go", "pkg/pay_test.go")], "path, test"))
 def tests_for_files(t):
     files = t.values([(p,) for p in _DOMAIN], "path string")
     return graph.tests_for(files.filter("path in ('src/auth/login.py', 'src/cart.ts', 'pkg/pay.go')"), files)
@@ -95,7 +91,7 @@ def boost_depth(t):
 _COMMANDS = [([], "python", True, "python -m unittest discover -s tests"), (["tests/test_a.py"], "python", True, "pytest -v tests/test_a.py"), (["tests/test_a.py"], "python", False, "python -m unittest tests/test_a.py"), (["web/a.test.ts"], "typescript", True, "npm test -- web/a.test.ts"), (["pkg/a_test.go"], "go", True, "go test pkg/a_test.go")]
 
 
-@query("SELECT CAST(n AS BIGINT) AS n, command FROM " + _values([(i, c[3]) for i, c in enumerate(_COMMANDS)], "n, command"))
+@query("SELECT CAST(n AS BIGINT) AS n, command FROM " + values_sql([(i, c[3]) for i, c in enumerate(_COMMANDS)], "n, command"))
 def test_command(t):
     return t.values([(i, graph.command(*c[:3])) for i, c in enumerate(_COMMANDS)], "n long, command string")
 
@@ -110,7 +106,7 @@ def package_assignment(t):
 _PACKS = [("auth-service", "@app/auth_service"), ("web-dashboard", "@app/auth-service"), ("core", "auth-service/client"), ("tools", "requests"), ("cli", "core.models")]
 
 
-@query("SELECT * FROM " + _values([("web-dashboard", "auth-service"), ("core", "auth-service"), ("cli", "core")], "package, depends_on"))
+@query("SELECT * FROM " + values_sql([("web-dashboard", "auth-service"), ("core", "auth-service"), ("cli", "core")], "package, depends_on"))
 def package_deps(t):
     return monorepo.dependencies(t.values(_PACKS, "package string, imp string"))
 
@@ -127,7 +123,7 @@ def package_rollup(t):
     return joined.rollup("r_name", "n_name").agg(F.count("*").alias("files")).select(name.alias("package"), "files")
 
 
-@query("SELECT 'ASIA/NATION_2' AS package WHERE EXISTS (SELECT 1 FROM v_packages WHERE package = 'ASIA/NATION_2') UNION ALL SELECT min(package) FROM v_packages WHERE NOT EXISTS (SELECT 1 FROM v_packages WHERE package = 'ASIA/NATION_2')")
+@query("SELECT package FROM v_packages ORDER BY CASE WHEN contains('why is asia/nation_2 slow', lower(package)) THEN 0 ELSE 1 END, package LIMIT 1")
 def package_match(t):
     return monorepo.match(t.packages().select("package"), "why is asia/nation_2 slow")
 
@@ -153,41 +149,28 @@ def memory_summary_budget(t):
 _BLOCKS = [("dna", 1, 80), ("deps", 2, 80), ("apis", 3, 120), ("patterns", 1, 60), ("evolution", 4, 60)]
 
 
-@query("SELECT block, CAST(greatest(floor(1200 * weight / 11e0), least_size) AS BIGINT) AS budget FROM " + _values(_BLOCKS, "block, weight, least_size"))
+@query("SELECT block, CAST(greatest(floor(1200 * weight / 11e0), least_size) AS BIGINT) AS budget FROM " + values_sql(_BLOCKS, "block, weight, least_size"))
 def budget_weights(t):
     return render.shares(t.values(_BLOCKS, "block string, weight int, floor int"), 1200)
 
 
-_STEPS = [(25, 12, 10), (13, 6, 5), (7, 3, 3), (4, 2, 2), (2, 1, 1), (1, 1, 1)]
-
-
-@query("SELECT CAST(5 AS BIGINT) AS step, CAST(2 AS BIGINT) AS targets, CAST(3 AS BIGINT) AS direct, CAST(4 AS BIGINT) AS transitive")
-def compaction_schedule(t):
-    return render.compaction(t.spark, targets=10, direct=12, transitive=25, line=40, fixed=120, budget=100)
-
-
 @query("SELECT CAST(c.conv_id AS BIGINT) AS conv_id, CASE WHEN EXISTS (SELECT 1 FROM (VALUES ('the'), ('tion')) w(word) WHERE contains(lower(c.text), w.word)) THEN 1 ELSE 0 END AS hit FROM conversations c WHERE turn = 0")
 def task_entity_match(t):
     words = render.task_words("of the tion")
     return t.conversations.filter("turn = 0").select("conv_id", x.contains_any(F.lower("text"), words).cast("int").alias("hit"))
 
 
-_ALIASES = [("search", "search_symbols"), ("impact", "blast_radius"), ("fold", "skeleton"), ("remember", "memory_record")]
-
-
-@query("SELECT action, tool FROM " + _values([("impact", "blast_radius"), ("search", "search_symbols")], "action, tool"))
+@query("SELECT action, tool FROM " + values_sql([("blast", "blast_radius"), ("symbols", "find_symbols"), ("eval", "harness_eval")], "action, tool"))
 def action_alias(t):
-    asked = t.values([("search",), ("impact",), ("nothing",)], "action string")
-    return asked.join(F.broadcast(t.values(_ALIASES, "action string, tool string")), "action").select("action", "tool")
+    asked = t.values([("blast",), ("symbols",), ("eval",), ("nothing",)], "action string")
+    return asked.join(F.broadcast(t.values(dispatch.ACTIONS, "action string, tool string")), "action").select("action", "tool")
 
 
 _RPC = [(1, '{"jsonrpc":"2.0","id":1,"method":"ping"}', "ok", 0), (2, '{"jsonrpc":"2.0","id":2,"method":"nope"}', "error", -32601), (3, '{"jsonrpc":"2.0","method":"initialized"}', "silent", 0), (4, "{broken", "error", -32700), (5, '{"id":5}', "error", -32600), (6, '{"jsonrpc":"2.0","id":6,"method":"resources/read","params":null}', "error", -32602)]
 
 
-@query("SELECT CAST(n AS BIGINT) AS n, outcome, CAST(code AS BIGINT) AS code FROM " + _values([(r[0], r[2], r[3]) for r in _RPC], "n, outcome, code"))
+@query("SELECT CAST(n AS BIGINT) AS n, outcome, CAST(code AS BIGINT) AS code FROM " + values_sql([(r[0], r[2], r[3]) for r in _RPC], "n, outcome, code"))
 def rpc_classify(t):
-    from sedge.operators import dispatch
-
     return dispatch.classify(t.values([r[:2] for r in _RPC], "n long, line string"))
 
 

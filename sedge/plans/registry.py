@@ -22,3 +22,14 @@ def query(sql: str | None = None):
         return f
 
     return register
+
+
+def values_sql(rows: list[tuple], names: str) -> str:
+    """Rows as a table that both engines read; strings are quoted, None is null."""
+
+    def one(v) -> str:
+        if v is None:
+            return "NULL"
+        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") v({names})"
