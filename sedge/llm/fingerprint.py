@@ -76,6 +76,39 @@ def ring(keys: DataFrame) -> DataFrame:
     return inside.join(heads, "part").select("k", F.coalesce("_n", "after").alias("next_k"))
 
 
+#: A cell holds so many neighbouring ids (as a power of two) if they are dense; the ids in the last
+#: of 2^EDGE parts of a cell are also sent to the next cell; up to so many other pairs are broadcast.
+CELL, EDGE, FEW = 8, 5, 10_000
+
+
+def _beside(docs: DataFrame, order: DataFrame) -> tuple[DataFrame, Window]:
+    """Rows and a window over them in which each of docs (k, text and more; each k once) is followed
+    by its next one; kind is 0 on docs' own rows. The texts are shuffled once.
+
+    Neighbouring ids share a cell, which is a hash key of one exchange; a window over the cell finds
+    the next row. Ids at the edge of a cell are sent to the cell above as well. Pairs that are still
+    apart (ids with gaps, the last and the first) are known from the ids alone; their donors get the
+    asker's place and go through the same exchange.
+    """
+    gap = F.when(F.col("k") > F.col("next_k"), F.col("k").cast("double") - F.col("next_k").cast("double"))
+    least = order.agg(F.min(gap)).first()[0] or 1.0
+    bits = min(CELL + max(0, int(least).bit_length() - 1), 62)
+    cell = lambda k: F.shiftright(k, bits)
+    at_edge = lambda k: F.shiftright(k, bits - EDGE).bitwiseAND(F.lit((1 << EDGE) - 1)) == (1 << EDGE) - 1
+    near = (F.col("next_k") < F.col("k")) & ((cell(F.col("next_k")) == cell(F.col("k"))) | (at_edge(F.col("next_k")) & (cell(F.col("next_k")) + 1 == cell(F.col("k")))))
+    apart = order.filter(~near).select(F.col("next_k").alias("k"), F.col("k").alias("asker"))
+    if apart.count() <= FEW:
+        apart = F.broadcast(apart)
+    more = [c for c in docs.columns if c not in ("k", "text")]
+    empty = [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in more]
+    own = docs.select(cell(F.col("k")).alias("cell"), "k", F.lit(0).alias("kind"), "text", *more)
+    edge = docs.filter(at_edge(F.col("k"))).select((cell(F.col("k")) + 1).alias("cell"), "k", F.lit(1).alias("kind"), "text", *empty)
+    sent = docs.select("k", "text").join(apart, "k").select(cell(F.col("asker")).alias("cell"), F.col("asker").alias("k"), F.lit(1).alias("kind"), "text", *empty)
+    dealt = own.unionByName(edge).unionByName(sent)
+    following = Window.partitionBy("cell").orderBy(F.desc("k"), "kind")
+    return dealt, following
+
+
 def fingerprinted(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> DataFrame:
     """Each row of docs (doc_id, text) with its own sketch, its edited text and that text's sketch.
 
@@ -83,24 +116,32 @@ def fingerprinted(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> Da
     last half of the text (rounded down) replaced by as much of the start of the next document, in
     descending order of doc_id and after the last one the first. Null texts are empty; a null doc_id
     counts as the smallest. Rows that repeat a doc_id are all returned; where such a document is the
-    next of another, its smallest text stands for it. Other columns do not matter.
+    next of another, its smallest text stands for it. Other columns do not matter. An empty table
+    gives an empty table.
     """
-    smallest = F.lit(-(1 << 63))
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.coalesce(F.col("doc_id").cast("long"), smallest))
-    sizes = docs.groupBy("k").agg(F.max(F.length("text")).alias("n"))
-    order = common.stash(ring(sizes), "order")
-    wanted = order.join(sizes, "k").select(F.col("next_k").alias("k"), F.col("k").alias("asker"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    first = F.row_number().over(Window.partitionBy("k").orderBy("text"))
-    donors = docs.select("k", "text").withColumn("_r", first).filter("_r = 1").join(wanted, "k").select("asker", "text", F.substr("text", F.lit(1), F.col("need")).alias("fill"))
-    donors = with_sketch(donors, "text", "next_sketch", words, scale).select(F.col("asker").alias("k"), "fill", "next_sketch")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    order = common.stash(ring(docs.select("k")), "order")
+    if docs.count() == order.count():
+        dealt, following = _beside(docs, order)
+        both = with_sketch(dealt, "text", "sketch", words, scale)
+        both = both.withColumns({"next_text": F.lead("text").over(following), "next_sketch": F.lead("sketch").over(following)}).filter("kind = 0")
+    else:
+        both = _repeated(with_sketch(docs, "text", "sketch", words, scale), order)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    both = docs.join(donors, "k").withColumn("edited_text", F.concat(F.substr("text", F.lit(1), n - half), F.substr("fill", F.lit(1), half)))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "text", "edited_text", "next_sketch")
-    both = with_sketch(both, "text", "sketch", words, scale).drop("text")
+    edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), "sketch", edited.alias("edited_text"), "next_sketch")
     return with_sketch(both, "edited_text", "edited_sketch", words, scale)
 
 
+def _repeated(docs: DataFrame, order: DataFrame) -> DataFrame:
+    """The same where ids repeat: one row of each id is the donor, and two joins on the id bring it
+    to its asker. Joins on a hot id are split by the skew handling of adaptive execution."""
+    donor = docs.groupBy("k").agg(F.min(F.struct("text", "sketch")).alias("d"))
+    given = order.select(F.col("next_k").alias("k"), F.col("k").alias("asker")).join(donor, "k").select(F.col("asker").alias("k"), F.col("d.text").alias("next_text"), F.col("d.sketch").alias("next_sketch"))
+    return docs.join(given, "k")
+
+
 def op3_fingerprint(spark, sf_dir: str) -> DataFrame:
     found = fingerprinted(common.table(spark, sf_dir, "documents"))
     return found.select(
