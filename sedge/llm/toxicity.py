@@ -1,9 +1,11 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Lower-cased texts are cut into character 3-, 4- and 5-grams, hashed to 2^20 buckets. The fit
-takes r = log((p + a) / |p|) - log((q + a) / |q|) from the documents of either class that hold a
-bucket (binary counts), keeps the KEEP buckets with the strongest evidence and fits a logistic
-regression with an L2 penalty over x * r. Scoring is one vectorised pass over each whole text.
+Lower-cased texts are cut into character 4-, 5- and 6-grams, hashed to 2^20 buckets. A bucket's
+value x in a text is 1 - exp(-RATE * its share of the text's characters): near 1 if it is frequent,
+near 0 if a long text holds it by chance. The fit takes r = log((p + a) / |p|) - log((q + a) / |q|)
+from the sums p and q of x over either class, keeps the KEEP buckets with the strongest evidence and
+fits a logistic regression with an L2 penalty over x * r. Scoring is one vectorised pass over each
+whole text.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from pyspark.sql import types as T
 from sedge.llm import common
 
 BITS = 20
-ORDERS = (3, 4, 5)
-KEEP = 20_000
+ORDERS = (4, 5, 6)
+KEEP = 5000
+RATE = 300
 ALPHA = 0.5
-PENALTY = 0.3
+PENALTY = 1.0
 SEGMENT = 1 << 20
 THRESHOLD = 0.7
-_MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
+_MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], dtype=np.uint32)
 
 
 def buckets(text: str):
@@ -41,7 +44,11 @@ def buckets(text: str):
             if k + 1 in ORDERS:
                 x = h ^ (h >> np.uint32(15))
                 x = (x + np.uint32(k)) * np.uint32(0x2C1B3C6D)
-                yield x >> np.uint32(32 - BITS)
+                yield (x >> np.uint32(32 - BITS))[:SEGMENT]
+
+
+def values(counts: np.ndarray, text: str) -> np.ndarray:
+    return 1 - np.exp(counts * (-RATE / (len(text) + 2)))
 
 
 @dataclass
@@ -55,38 +62,44 @@ class Model:
     def scorer(self):
         slot = np.zeros(1 << BITS, dtype=np.uint16)
         slot[self.bucket] = np.arange(1, len(self.bucket) + 1)
-        weight = np.concatenate([[0.0], self.weight])
 
         def score(text: str | None) -> float:
-            seen = np.zeros(len(weight), dtype=bool)
+            counts = np.zeros(len(self.bucket) + 1)
             for b in buckets(text or ""):
-                hits = slot[b]
-                seen[hits[hits > 0]] = True
-            z = self.bias + float(weight[seen].sum())
+                counts += np.bincount(slot[b], minlength=len(counts))
+            z = self.bias + float(self.weight @ values(counts[1:], text or ""))
             return float(1.0 / (1.0 + np.exp(-max(-60.0, min(60.0, z)))))
 
         return score
 
 
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text and their values."""
+    found, counts = np.unique(np.concatenate([np.zeros(0, np.uint32), *buckets(text)]), return_counts=True)
+    return found, values(counts, text)
+
+
 def fit(texts: list[str], y: list[int]) -> Model:
     """Deterministic. Without rows of both classes every score is 0.5."""
     target = np.asarray(y, dtype=float)
     n1, n0 = target.sum(), (1 - target).sum()
     if not n1 or not n0:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0)
-    docs = [np.unique(np.concatenate([np.zeros(0, np.uint32), *map(np.unique, buckets(t))])) for t in texts]
-    counts = np.zeros((2, 1 << BITS))
-    for d, label in zip(docs, y, strict=True):
-        counts[label, d] += 1
-    r = np.log((counts[1] + ALPHA) / (n1 + 2 * ALPHA)) - np.log((counts[0] + ALPHA) / (n0 + 2 * ALPHA))
-    p, q = counts[1] / n1, counts[0] / n0
-    strength = np.abs(r) * np.abs(p - q)
-    strength[counts.sum(axis=0) < 2] = 0
+    docs = [features(t) for t in texts]
+    sums, held = np.zeros((2, 1 << BITS)), np.zeros(1 << BITS, dtype=np.int32)
+    for (found, x), label in zip(docs, y, strict=True):
+        sums[label, found] += x
+        held[found] += 1
+    r = np.log((sums[1] + ALPHA) / (n1 + 2 * ALPHA)) - np.log((sums[0] + ALPHA) / (n0 + 2 * ALPHA))
+    strength = np.abs(r) * np.abs(sums[1] / n1 - sums[0] / n0)
+    strength[held < 2] = 0
     kept = np.sort(np.argsort(-strength, kind="stable")[:KEEP])
     kept = kept[strength[kept] > 0]
     column = np.full(1 << BITS, -1)
     column[kept] = np.arange(len(kept))
-    cols = [c[c >= 0] for c in (column[d] for d in docs)]
+    cols = [column[found] for found, _ in docs]
+    value = np.concatenate([np.zeros(0), *[x[c >= 0] for (_, x), c in zip(docs, cols)]])
+    cols = [c[c >= 0] for c in cols]
     row = np.repeat(np.arange(len(docs)), [len(c) for c in cols])
     col = np.concatenate([np.zeros(0, int), *cols]).astype(int)
     scale = r[kept]
@@ -94,9 +107,9 @@ def fit(texts: list[str], y: list[int]) -> Model:
     w, b = np.zeros(len(kept)), 0.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, 301):
-        z = np.bincount(row, weights=(w * scale)[col], minlength=len(docs)) + b
+        z = np.bincount(row, weights=(w * scale)[col] * value, minlength=len(docs)) + b
         err = share * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - target)
-        gw = np.bincount(col, weights=err[row], minlength=len(kept)) * scale + PENALTY / len(docs) * w
+        gw = np.bincount(col, weights=err[row] * value, minlength=len(kept)) * scale + PENALTY / len(docs) * w
         gb = err.sum()
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         f1, f2 = 1 - 0.9**t, 1 - 0.999**t
