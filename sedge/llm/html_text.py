@@ -183,7 +183,7 @@ def candidates(pages: DataFrame) -> DataFrame:
     """page_id, mark (of the html), host, path and line hashes of pages that name no article."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             rows = []
             for page_id, mark, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "mark", "url", "html"))):
                 lines, sure = blocks(html or "")
@@ -240,13 +240,14 @@ def extracted(pages: DataFrame) -> DataFrame:
     equal texts. A null url counts as an empty host and path. A column named text is replaced, the
     others pass through; an empty table gives an empty table.
     """
-    pages = common.without(pages, "text").withColumn("mark", F.xxhash64(F.coalesce("html", F.lit(""))))
-    shared = common.stash(differences(common.stash(candidates(pages), "page-lines")), "page-shared").filter(F.size("shared") > 0)
-    both = pages.join(shared, ["page_id", "mark"], "left").select(*[f"`{c}`" for c in pages.columns if c != "mark"], F.col("shared").alias("_shared"))
+    pages = common.without(pages, "text", "_mark", "_shared").withColumn("_mark", F.xxhash64(F.coalesce("html", F.lit(""))))
+    found = candidates(pages.select("page_id", F.col("_mark").alias("mark"), "url", "html"))
+    shared = common.stash(differences(common.stash(found, "page-lines")), "page-shared").filter(F.size("shared") > 0)
+    both = pages.join(shared.withColumnsRenamed({"mark": "_mark", "shared": "_shared"}), ["page_id", "_mark"], "left").select(*[f"`{c}`" for c in pages.columns if c != "_mark"], "_shared")
     keep = [c for c in both.columns if c != "_shared"]
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = []
             for html, shared in zip(batch.column("html").to_pylist(), batch.column("_shared").to_pylist()):
                 lines, _ = blocks(html or "")
