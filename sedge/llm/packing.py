@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sedge.llm import common, tokens
 
-SIZE, OPEN, GROUP = 2048, 512, 2000
+SIZE, OPEN, GROUP = 2048, 4096, 8192
 END = np.zeros(1, dtype="<u4").tobytes()
 
 
@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False)
 
     def run(batches):
         coder = tokens.loaded(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = coder.encode(text) + END
@@ -93,7 +93,7 @@ def pack(cut: DataFrame, rows: int, size: int = SIZE, open_bins: int = OPEN, gro
     full = cut.filter(F.col("length") >= size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     short = cut.filter(F.col("length") < size)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
         bins, offsets = best_fit(pdf["length"].tolist(), size, open_bins)
         return pdf.drop(columns="_group").assign(sequence_id=np.array(bins, dtype=np.int64) + (int(key[0]) << 32), offset=np.array(offsets, dtype=np.int64))
