@@ -54,7 +54,7 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
+        vocab: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -62,12 +62,10 @@ class WordBpe:
         #: left id * 2^20 + right id -> rank * 2^20 + new id
         self.merge: dict[int, int] = {}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            self.merge.setdefault(self.vocab[a] << 20 | self.vocab[b], rank << 20 | self.vocab[a + b])
+            self.merge.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
         letters = byte_alphabet()
-        self.inner = [self.vocab[c] for c in letters]
-        self.last = [self.vocab[c + self.suffix] for c in letters]
-        names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)])
+        self.inner = [vocab[c] for c in letters]
+        self.last = [vocab[c + self.suffix] for c in letters]
         self.word_ids = common.Cache(self.word)
         self.chunk_ids = common.Cache(self.chunk)
 
@@ -156,6 +154,15 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@functools.lru_cache(maxsize=2)
+def names_of(path: str) -> pa.Array:
+    """The token of each id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return pa.array([names.get(i, "") for i in range(max(names) + 1)])
+
+
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with `ids array<int>`, the token ids of its whole text (null text: no ids).
 
@@ -167,7 +174,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         bpe = loaded(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             coded = [bpe.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, coded)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
@@ -183,8 +190,8 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        names = loaded(path).names
-        for batch in batches:
+        names = names_of(path)
+        for batch in common.slices(batches):
             ids = batch.column("ids").fill_null([]) if batch.column("ids").null_count else batch.column("ids")
             tokens = pa.ListArray.from_arrays(pa.array(np.asarray(ids.offsets) - ids.offsets[0].as_py(), pa.int32()), names.take(ids.flatten()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pc.binary_join(tokens, " ")], names=[*batch.schema.names, "decoded"])

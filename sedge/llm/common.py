@@ -63,10 +63,21 @@ def fit_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int =
     return [r[1] for r in got], [r[2] for r in got]
 
 
+#: Rows that a worker turns into Python objects at a time.
+SLICE = 256
+
+
+def slices(batches, rows: int = SLICE):
+    """The batches in pieces of so many rows, so that long texts are not all held as objects at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 class Cache(dict):
     """cache[key] is make(key), kept in two generations of at most `limit` short keys each."""
 
-    def __init__(self, make, limit: int = 500_000, longest: int = 64):
+    def __init__(self, make, limit: int = 100_000, longest: int = 64):
         super().__init__()
         self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
