@@ -36,7 +36,7 @@ def packages(imports: DataFrame, top: int = 20) -> DataFrame:
 def frameworks(imports: DataFrame) -> DataFrame:
     """framework, of the known ones."""
     known = imports.sparkSession.createDataFrame(FRAMEWORKS, "signature string, framework string")
-    names = imports.select(F.lower(F.explode("imports_external")).alias("signature")).distinct()
+    names = imports.select(F.explode("imports_external").alias("p")).select(F.lower("p").alias("signature")).distinct()
     return names.join(F.broadcast(known), "signature").select("framework").distinct().orderBy("framework")
 
 
