@@ -17,20 +17,30 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def judged(docs: DataFrame, score, model, wanted: int) -> DataFrame:
+    """Rows of docs that the classifier predicts to be so; their columns may have any names."""
+    plain = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"_{i}") for i, c in enumerate(docs.columns)])
+    return score(plain, model).filter(F.col("predicted") == wanted).select(*plain.columns).toDF(*docs.columns)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of good quality; a null or empty text is scored like any other."""
     model = quality.fitted(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter(F.col("predicted") == 1).select(*docs.columns)
+    return judged(docs, quality.score, model, 1)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that are not toxic."""
     model = toxicity.fitted(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("predicted") == 0).select(*docs.columns)
+    return judged(docs, toxicity.score, model, 0)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that of the smallest doc_id; of rows that repeat it one stays."""
+    """One document of each group, that of the smallest doc_id; of rows that repeat it one stays.
+    Rows without doc_id have no group and all stay, as do empty texts."""
     found = neardup.groups(docs, NEAR_WORDS, NEAR_PERCENT).filter("kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
