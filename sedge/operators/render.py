@@ -7,8 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.functions import exprs as x
-
 
 def within_budget(lines: DataFrame, line: str, tokens: int, by: list[str], *order: Column) -> DataFrame:
     """The first lines by order whose joined text has so many tokens at most (per group of by)."""
@@ -129,7 +127,3 @@ def popped(lines: list[str], tokens: int, least: int = 2) -> str:
         lines.pop()
     return "\n".join(lines)
 
-
-def compression(originals: DataFrame) -> DataFrame:
-    """originals (text, skeleton) with `saved`, the share of tokens that folding saves."""
-    return originals.withColumn("saved", 1 - x.token_estimate(F.col("skeleton")) / x.token_estimate(F.col("text")))

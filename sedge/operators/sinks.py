@@ -49,24 +49,24 @@ def put_block(text: str, start: str, end: str, body: str, heading: str = "") ->
     return "\n\n".join(filter(None, [text.strip(), "\n".join(filter(None, [heading, block]))])) + "\n"
 
 
-def write_if_changed(path: Path, text: str) -> bool:
-    """Leaves a file that has this text already as it is, its time included."""
-    if path.is_file() and path.read_text(encoding="utf-8") == text:
-        return False
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(text, encoding="utf-8")
-    return True
-
-
 def replace_atomically(path: Path, text: str) -> None:
     """Readers see the old or the new file, never a part."""
     path.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=path.parent)
     with os.fdopen(handle, "w", encoding="utf-8") as f:
         f.write(text)
+    os.chmod(name, path.stat().st_mode & 0o777 if path.exists() else 0o644)
     os.replace(name, path)
 
 
+def write_if_changed(path: Path, text: str) -> bool:
+    """Leaves a file that has this text already as it is, its time included."""
+    if path.is_file() and path.read_text(encoding="utf-8") == text:
+        return False
+    replace_atomically(path, text)
+    return True
+
+
 SECTIONS = ("genome", "lessons", "preferences")
 TAGS = {s: (f"<!-- sedge:{s}:start -->", f"<!-- sedge:{s}:end -->") for s in SECTIONS}
 _GUARDS = "### 🧬 Developer Preferences & Invariant Guards\n"
@@ -121,10 +121,6 @@ def sync(target: str, root: Path, texts: dict[str, str]) -> dict[str, list[str]]
     return done
 
 
-def skeleton_key(path: Column, mtime: Column, focus: Column, tokens: int) -> Column:
-    return F.sha2(F.concat_ws(":", path, mtime.cast("string"), F.coalesce(focus, F.lit("")), F.lit(str(tokens))), 256)
-
-
 def export_json(df: DataFrame, path: str) -> None:
     """One JSON object a line, written by the executors."""
     df.write.mode("overwrite").json(path)
@@ -134,7 +130,3 @@ def import_json(spark, path: str, schema: str) -> DataFrame:
     """Rows that parse; others are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", False).json(path)
 
-
-def checksum(content: Column) -> Column:
-    return F.sha2(content, 256)
-
