@@ -85,9 +85,9 @@ def fit(texts: list[str], y: list[int]) -> Model:
     n1, n0 = target.sum(), (1 - target).sum()
     if not n1 or not n0:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0)
-    docs = [features(t) for t in texts]
     sums, held = np.zeros((2, 1 << BITS)), np.zeros(1 << BITS, dtype=np.int32)
-    for (found, x), label in zip(docs, y, strict=True):
+    for text, label in zip(texts, y, strict=True):  # features are made twice rather than all held
+        found, x = features(text)
         sums[label, found] += x
         held[found] += 1
     r = np.log((sums[1] + ALPHA) / (n1 + 2 * ALPHA)) - np.log((sums[0] + ALPHA) / (n0 + 2 * ALPHA))
@@ -95,21 +95,25 @@ def fit(texts: list[str], y: list[int]) -> Model:
     strength[held < 2] = 0
     kept = np.sort(np.argsort(-strength, kind="stable")[:KEEP])
     kept = kept[strength[kept] > 0]
-    column = np.full(1 << BITS, -1)
+    column = np.full(1 << BITS, -1, dtype=np.int32)
     column[kept] = np.arange(len(kept))
-    cols = [column[found] for found, _ in docs]
-    value = np.concatenate([np.zeros(0), *[x[c >= 0] for (_, x), c in zip(docs, cols)]])
-    cols = [c[c >= 0] for c in cols]
-    row = np.repeat(np.arange(len(docs)), [len(c) for c in cols])
-    col = np.concatenate([np.zeros(0, int), *cols]).astype(int)
+    cols, parts = [], []
+    for text in texts:
+        found, x = features(text)
+        c = column[found]
+        cols.append(c[c >= 0])
+        parts.append(x[c >= 0].astype(np.float32))
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in cols])
+    col, value = np.concatenate(cols), np.concatenate(parts)
+    del cols, parts
     scale = r[kept]
     share = np.where(target == 1, 0.5 / n1, 0.5 / n0)
     w, b = np.zeros(len(kept)), 0.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, 301):
-        z = np.bincount(row, weights=(w * scale)[col] * value, minlength=len(docs)) + b
+        z = np.bincount(row, weights=(w * scale)[col] * value, minlength=len(texts)) + b
         err = share * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - target)
-        gw = np.bincount(col, weights=err[row] * value, minlength=len(kept)) * scale + PENALTY / len(docs) * w
+        gw = np.bincount(col, weights=err[row] * value, minlength=len(kept)) * scale + PENALTY / len(texts) * w
         gb = err.sum()
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         f1, f2 = 1 - 0.9**t, 1 - 0.999**t
