@@ -54,8 +54,7 @@ class Tables:
 
     def edges(self) -> DataFrame:
         n = self.customer.agg(F.count("*").alias("n"))
-        urgent = self.orders.filter(F.col("o_orderpriority") == "1-URGENT")
-        return urgent.crossJoin(F.broadcast(n)).select((F.col("o_orderkey") % F.col("n")).alias("dep"), F.col("o_custkey").alias("consumer")).filter("dep <> consumer").distinct()
+        return self.orders.crossJoin(F.broadcast(n)).select((F.col("o_orderkey") % F.col("n")).alias("dep"), F.col("o_custkey").alias("consumer")).filter("dep <> consumer").distinct()
 
     def tests(self) -> DataFrame:
         return self.customer.select(F.col("c_custkey").alias("v"), (F.col("c_mktsegment") == "MACHINERY").alias("is_test"))
