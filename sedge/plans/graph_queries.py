@@ -157,7 +157,7 @@ def budget_weights(t):
 @query("SELECT CAST(c.conv_id AS BIGINT) AS conv_id, CASE WHEN EXISTS (SELECT 1 FROM (VALUES ('the'), ('tion')) w(word) WHERE contains(lower(c.text), w.word)) THEN 1 ELSE 0 END AS hit FROM conversations c WHERE turn = 0")
 def task_entity_match(t):
     words = render.task_words("of the tion")
-    return t.conversations.filter("turn = 0").select("conv_id", x.contains_any(F.lower("text"), words).cast("int").alias("hit"))
+    return t.conversations.select("conv_id", "turn", x.contains_any(F.lower("text"), words).cast("int").alias("hit"))
 
 
 @query("SELECT action, tool FROM " + values_sql([("blast", "blast_radius"), ("symbols", "find_symbols"), ("eval", "harness_eval")], "action, tool"))

@@ -54,3 +54,9 @@ def test_blast_metrics_of_all_edges(spark, levels):
     ratio = round(100 * total / n, 2)
     impact = "LOW" if not total or total <= 2 and ratio < 15 else "MEDIUM" if total <= 5 and ratio < 35 else "HIGH" if total <= 12 and ratio < 60 else "CRITICAL"
     assert got(spark, "blast_metrics") == rows(["total_files", "direct_fan_out", "total_fan_out", "fan_out_ratio", "impact"], [(n, direct, total, ratio, impact)])
+
+
+def test_entities_in_all_turns(spark):
+    want = [(c, turn, int(any(w in (text or "").lower() for w in ("the", "tion")))) for c, turn, text in table("conversations", ["conv_id", "turn", "text"])]
+    assert any(turn > 0 and hit for _, turn, hit in want)
+    assert got(spark, "task_entity_match") == rows(["conv_id", "turn", "hit"], want)
