@@ -306,7 +306,7 @@ def fold(code: str, language: str, focus: str | None = None, tokens: int = BUDGE
             warnings = [missing] * bool(focus and not folder.found)
             warnings += [f"Skeleton exceeds max_tokens budget ({count_tokens(out)} > {tokens}) at Tier 4."] * (count_tokens(out) > tokens)
             return out, tier, " | ".join(warnings) or None
-        except (SyntaxError, ValueError) as e:
+        except (SyntaxError, ValueError, MemoryError, RecursionError) as e:  # the last two: nested too deeply to parse
             return indentation_fold(code, focus), 1, f"SyntaxError in Python source ({e}); used indentation fallback."
     out, found = brace_fold(code, language, focus)
     warnings = [missing] * bool(focus and not found) + [f"Skeleton exceeds max_tokens budget ({count_tokens(out)} > {tokens})."] * (count_tokens(out) > tokens)

@@ -272,8 +272,10 @@ def token_estimate(t):
     """SELECT language, round(1 - CAST(sum(CASE WHEN length(split_part(text, chr(10), 1)) = 0 THEN 0 ELSE greatest(1, length(split_part(text, chr(10), 1)) // 4) END) AS DOUBLE) / sum(CASE WHEN size = 0 THEN 0 ELSE greatest(1, size // 4) END), 6) AS ratio FROM v_files GROUP BY language"""
 )
 def compression_ratio(t):
-    short = x.token_estimate(F.substring_index("text", "\n", 1))
-    return t.files().groupBy("language").agg(F.round(1 - F.sum(short) / F.sum(x.token_estimate(F.col("text"))), 6).alias("ratio"))
+    from sedge.operators import skeleton
+
+    folded = skeleton.skeletons(t.files().select("language", "text"))
+    return folded.groupBy("language").agg(F.round(1 - F.sum("tokens") / F.sum(x.token_estimate(F.col("text"))), 6).alias("ratio"))
 
 
 @query("SELECT DISTINCT path FROM v_files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")

@@ -60,3 +60,21 @@ def test_entities_in_all_turns(spark):
     want = [(c, turn, int(any(w in (text or "").lower() for w in ("the", "tion")))) for c, turn, text in table("conversations", ["conv_id", "turn", "text"])]
     assert any(turn > 0 and hit for _, turn, hit in want)
     assert got(spark, "task_entity_match") == rows(["conv_id", "turn", "hit"], want)
+
+
+def test_compression_of_folded_texts(spark, tmp_path):
+    """Skeletons written by hand: all of a text counts, not its first line."""
+    python = "import os\n\n\ndef area(w, h):\n    size = w * h\n    print(size)\n    print(size)\n    print(size)\n    return size\n\n\nLIMIT = 10\n"
+    go = "package a\n\nfunc Area(w int) int {\n\tsize := w * w\n\tsize += 1\n\tsize += 2\n\tsize += 3\n\tsize += 4\n\treturn size\n}\n"
+    prose = "plain words\nand no code (at all).\n" * 5
+    nested = "-" * 20000 + "1\n"
+    folded = {
+        "Python": [(python, "import os\n\ndef area(w, h):\n    ... [L5-L9]\nLIMIT = 10"), (nested, nested.rstrip())],
+        "Go": [(go, "package a\n\nfunc Area(w int) int {\n    ... [L4-L9]\n}\n"), (prose, prose)],
+        "Java": [(prose, prose)],
+    }
+    texts = [(text, {"Python": "en", "Go": "de", "Java": "es"}[language]) for language, pairs in folded.items() for text, _ in pairs]
+    spark.createDataFrame([(i, text, lang, "src1", len(text)) for i, (text, lang) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    df = plans.QUERIES["compression_ratio"](spark, str(tmp_path))
+    want = [(language, round(1 - sum(len(s) // 4 for _, s in pairs) / sum(len(text) // 4 for text, _ in pairs), 6)) for language, pairs in folded.items()]
+    assert rows(df.columns, df.collect()) == rows(["language", "ratio"], want)
