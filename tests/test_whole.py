@@ -78,3 +78,9 @@ def test_compression_of_folded_texts(spark, tmp_path):
     df = plans.QUERIES["compression_ratio"](spark, str(tmp_path))
     want = [(language, round(1 - sum(len(s) // 4 for _, s in pairs) / sum(len(text) // 4 for text, _ in pairs), 6)) for language, pairs in folded.items()]
     assert rows(df.columns, df.collect()) == rows(["language", "ratio"], want)
+
+
+def test_cache_lookup_of_all_files(spark):
+    ext = {"en": "py", "fr": "ts", "de": "go"}
+    want = [(f"{source}/{lang}/doc_{doc}.{ext.get(lang, 'java')}", len(text)) for doc, source, lang, text in table("documents", ["doc_id", "source", "lang", "text"]) if doc % 4 != 1]
+    assert got(spark, "cache_lookup") == rows(["path", "size"], want)
