@@ -3,6 +3,8 @@
 A page is read once by a small tokenizer into blocks. Blocks in menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts and the like (by tag, role or words of class and id) go.
 If the page says where its article is (article, main or role main), the blocks there are its text.
+Words of class and id do not drop an article, or what holds one, if the page has no other: a wrapper
+may be called "with-sidebar".
 
 Otherwise the remaining blocks are candidates, and the page is compared with its nearest neighbour:
 pages are sorted by host and URL path, of the two next to a page (among pages of this kind and of
@@ -38,6 +40,7 @@ _WORDS = set(
     "subscription signup share sharing social sidebar related recommended recommendations trending popular comment comments commentlist disqus replies reply respond footer nav navbar navigation menu "
     "breadcrumb breadcrumbs pagination pager toolbar topbar masthead login widget copyright disclaimer skip".split()
 )
+_OTHERS = set("related recommended recommendations trending popular comment comments commentlist disqus replies reply respond".split())
 _HEADS = {"header", "masthead", "topbar"}
 _SPACES = re.compile(r"\s+")
 
@@ -46,29 +49,32 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") if v else "" for k, v in _ATTR.findall(text)}
 
 
-def _kind(tag: str, attrs: str, inside: bool) -> str:
-    """'drop', 'main' or ''. inside: in an article already, where a header is the article's own."""
+def _kind(tag: str, attrs: str, inside: bool) -> tuple[str, bool, set[str]]:
+    """'drop' or '', whether it is an article or main, and the words of class and id that speak
+    against it. inside: in an article already, where a header is the article's own."""
     if tag in _DROP or tag == "header" and not inside:
-        return "drop"
-    role = ""
+        return "drop", False, set()
+    role, against = "", set()
     if attrs.strip():
         got = _attributes(attrs)
         role = got.get("role", "").lower()
         words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{got.get('class', '')} {got.get('id', '')}").lower()))
         style = got.get("style", "").replace(" ", "").lower()
-        if role in _ROLES or words & _WORDS or words & _HEADS and not inside or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in style:
-            if tag not in ("body", "html"):
-                return "drop"
-    return "main" if tag in ("article", "main") or role == "main" else ""
+        if tag not in ("body", "html"):
+            if role in _ROLES or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in style:
+                return "drop", False, set()
+            against = words & _WORDS or (set() if inside else words & _HEADS)
+    return "", tag in ("article", "main") or role == "main", against
 
 
 def blocks(html: str) -> tuple[list[str], bool]:
     """The page's blocks of text in order, and whether markup says that they are its article."""
     body: list[str] = []
-    main: list[str] = []
-    stack: list[tuple[str, str]] = []
-    drop = inside = 0
-    seen_main = False
+    main: list[tuple[int, bool, bool, str]] = []  # elements around it with words against it, in an article, may join main, text
+    stack: list[tuple[str, tuple]] = []
+    # inside: articles and mains within the innermost element that has words against it
+    drop = level = inside = articles = mains = 0
+    others = False
     buffer: list[str] = []
 
     def flush() -> None:
@@ -76,13 +82,14 @@ def blocks(html: str) -> tuple[list[str], bool]:
             text = _SPACES.sub(" ", unescape("".join(buffer))).strip()
             buffer.clear()
             if text and not drop:
-                (main if inside else body).append(text)
+                if inside:
+                    main.append((level, articles > 0, mains > 0 and not others, text))
+                elif not level:
+                    body.append(text)
 
     def pop() -> None:
-        nonlocal drop, inside
-        _, kind = stack.pop()
-        drop -= kind == "drop"
-        inside -= kind == "main"
+        nonlocal drop, level, inside, articles, mains, others
+        _, (drop, level, inside, articles, mains, others) = stack.pop()
 
     at, n = 0, len(html)
     while at < n:
@@ -139,13 +146,26 @@ def blocks(html: str) -> tuple[list[str], bool]:
                 pop()
         if m[3].endswith("/") and tag in ("svg", "math"):
             continue
-        kind = _kind(tag, m[3], inside > 0)
-        stack.append((tag, kind))
-        drop += kind == "drop"
-        inside += kind == "main"
-        seen_main |= kind == "main" and not drop
+        kind, is_main, against = _kind(tag, m[3], inside > 0)
+        stack.append((tag, (drop, level, inside, articles, mains, others)))
+        if kind == "drop" or against and articles:
+            drop += 1
+            continue
+        if against:
+            level, inside, others = level + 1, 0, others or bool(against & _OTHERS)
+        if is_main:
+            inside += 1
+            articles += tag == "article"
+            mains += tag != "article"
     flush()
-    return (main, True) if seen_main and main else (body, False)
+    if not main:
+        return body, False
+    least = min(x[0] for x in main)
+    if any(n == least and article for n, article, _, _ in main):
+        return [x[3] for x in main if x[0] == least], True
+    # a main without an article of its own: with those that wrappers in it hold
+    inner = min((n for n, article, joins, _ in main if article and joins), default=least)
+    return [text for n, article, joins, text in main if n == least or n == inner and article and joins], True
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
@@ -199,18 +219,22 @@ def candidates(pages: DataFrame) -> DataFrame:
 def differences(found: DataFrame) -> DataFrame:
     """page_id, mark, shared: the positions of lines that a page shares with its nearest one.
 
+    Pages of a host with equal lines count as one page, that of the smallest path, so copies of an
+    article do not delete each other. Near copies are compared and keep only their edits.
     Rows are sorted by ranges of (host, path, page_id, mark), so a host with a third of all pages is
     spread; the pages next to a range's ends come from a table with two rows for each partition.
     """
     key = ["host", "path", "page_id", "mark"]
-    parts = common.stash(found.dropDuplicates(["page_id", "mark"]).repartitionByRange(*key).select("*", F.spark_partition_id().alias("part")), "pages-sorted")
+    found = found.dropDuplicates(["page_id", "mark"]).withColumn("same", F.xxhash64("host", "lines"))
+    pages, found = found.select("page_id", "mark", "same"), found.groupBy("same").agg(F.min_by(F.struct("host", "path", "page_id", "mark", "lines"), F.struct(*key)).alias("r")).select("r.*", "same")
+    parts = common.stash(found.repartitionByRange(*key).select("*", F.spark_partition_id().alias("part")), "pages-sorted")
     entry = F.struct("host", "path", "lines")
     order = Window.partitionBy("part").orderBy(*key)
     ends = parts.groupBy("part").agg(F.min_by(entry, F.struct(*key)).alias("head"), F.max_by(entry, F.struct(*key)).alias("tail"))
     by_part = Window.orderBy("part")
     ends = ends.select("part", F.lag("tail").over(by_part).alias("outer_before"), F.lead("head").over(by_part).alias("outer_after"))
     near = parts.withColumns({"before": F.lag(entry).over(order), "after": F.lead(entry).over(order)}).join(ends, "part")
-    near = near.select("page_id", "mark", "host", "path", "lines", F.coalesce("before", "outer_before").alias("before"), F.coalesce("after", "outer_after").alias("after"))
+    near = near.select("same", "host", "path", "lines", F.coalesce("before", "outer_before").alias("before"), F.coalesce("after", "outer_after").alias("after"))
 
     def run(batches):
         for batch in batches:
@@ -223,20 +247,20 @@ def differences(found: DataFrame) -> DataFrame:
                         if n > length:
                             best, length = other, n
                 if best:
-                    out.append((r["page_id"], r["mark"], shared_lines(r["lines"], best["lines"])))
-            cols = list(zip(*out)) or [[]] * 3
-            kinds = [batch.schema.field("page_id").type, pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "mark", "shared"])
+                    out.append((r["same"], shared_lines(r["lines"], best["lines"])))
+            cols = list(zip(*out)) or [[]] * 2
+            kinds = [pa.int64(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["same", "shared"])
 
-    return near.mapInArrow(run, f"page_id {found.schema['page_id'].dataType.simpleString()}, mark long, shared array<int>")
+    return pages.join(near.mapInArrow(run, "same long, shared array<int>"), "same").select("page_id", "mark", "shared")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with `text string`: its blocks joined by an empty line.
 
     Character references are decoded, white space in a block (br included) becomes one space. Null,
-    empty and blank html, and pages without article text, give an empty text. Of pages that share
-    all their lines with the nearest one nothing is left. Rows that repeat page_id and html have
+    empty and blank html, and pages without article text, give an empty text. Of pages whose
+    lines are all in the nearest one, without being its exact copy, nothing is left. Rows that repeat page_id and html have
     equal texts. A null url counts as an empty host and path. A column named text is replaced, the
     others pass through; an empty table gives an empty table.
     """
