@@ -7,7 +7,7 @@ classifiers are fitted on a bounded sample of the labelled documents of sf_dir.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedge.llm import common, neardup, packing, quality, toxicity
@@ -36,11 +36,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that of the smallest doc_id; of rows that repeat it one stays.
-    Rows without doc_id have no group and all stay, as do empty texts."""
-    found = neardup.groups(docs, NEAR_WORDS, NEAR_PERCENT).filter("kept").select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each group, that of the smallest doc_id. Of rows that repeat doc_id and text one
+    stays; rows that repeat a doc_id with another text are documents of their own, later than all
+    others. Rows without doc_id have no group and all stay, as do empty texts."""
+    named, unnamed = docs.filter(F.col("doc_id").isNotNull()), docs.filter(F.col("doc_id").isNull())
+    repeated = common.stash(named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
+    row = "_near_row"
+    if repeated.isEmpty():
+        rows = named.withColumn(row, F.col("doc_id").cast("long"))
+    else:
+        many = named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        many = common.stash(many.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).cast("long")), "repeated-rows")
+        last = named.agg(F.max("doc_id")).first()[0]
+        later = many.filter(F.col(row) > 1).repartitionByRange("doc_id", row).sortWithinPartitions("doc_id", row)
+        later = later.withColumn(row, F.lit(last + 1).cast("long") + F.monotonically_increasing_id())
+        alone = named.join(repeated, "doc_id", "left_anti").unionByName(many.filter(F.col(row) == 1).drop(row)).withColumn(row, F.col("doc_id").cast("long"))
+        rows = common.stash(alone.select(*docs.columns, row).unionByName(later.select(*docs.columns, row)), "named-rows")
+    found = neardup.groups(rows.select(F.col(row).alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias(row))
+    return rows.join(found, row, "left_semi").select(*docs.columns).unionByName(unnamed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

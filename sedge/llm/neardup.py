@@ -275,6 +275,19 @@ def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return common.stash(components(new if labels is None else links.unionByName(new)), "labels")
 
 
+def joined_by_ids(usable: DataFrame, named: DataFrame) -> DataFrame:
+    """named (set_a, set_b, label) where all sets of texts that one doc_id has get one label."""
+    several = common.stash(usable.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "several-texts")
+    if several.isEmpty():
+        return named
+    held = common.stash(usable.join(several, "doc_id").select("doc_id", "set_a", "set_b").join(named, ["set_a", "set_b"]).select("doc_id", "label").distinct(), "several-labels")
+    edges = common.stash(held.join(held.groupBy("doc_id").agg(F.min("label").alias("a")), "doc_id").select("a", F.col("label").alias("b")).filter("a < b").distinct(), "id-links")
+    if edges.isEmpty():
+        return named
+    roots = components(edges).toDF("label", "root")
+    return named.join(roots, "label", "left").select("set_a", "set_b", F.coalesce("root", "label").alias("label"))
+
+
 def groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text).
 
@@ -290,6 +303,7 @@ def groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     classes = usable.select(F.col("doc_id").alias("id"), "set_a", "set_b", F.col("n_shingles").alias("n"), "regs").join(sets, ["set_a", "set_b", "id"]).dropDuplicates(["set_a", "set_b"]).select("id", "n", "regs")
     labels = links_of(classes, docs, words, percent)
     named = sets.withColumn("label", F.col("id")) if labels is None else sets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = joined_by_ids(usable, named)
     found = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(named.select("set_a", "set_b", "label"), ["set_a", "set_b"], "left")
     out = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
