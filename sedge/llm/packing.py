@@ -1,9 +1,10 @@
 """Best-fit packing of token pieces into sequences, in bounded space and on line.
 
-Pieces are dealt by a hash into groups of about GROUP rows, so that no task grows with the input.
-In a group pieces arrive longest first. At most OPEN bins are open; an integer used as a bitset has
-bit f set while some open bin has f tokens free, so the tightest bin that fits is one shift and the
-lowest set bit. When one bin too many is open, the fullest closes.
+Pieces are dealt by a hash of their row number into streams of about STREAM rows, so that no task
+grows with the input; rows that repeat an id, or have none, are dealt like all others. A stream is
+read once, in the order of its rows. At most OPEN bins are open; an integer used as a bitset has bit f
+set while some open bin has f tokens free, so the tightest bin that fits is one shift and the lowest
+set bit. When one bin too many is open, the fullest closes.
 """
 
 from __future__ import annotations
@@ -11,46 +12,53 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sedge.llm import common, tokens
 
-SIZE, OPEN, GROUP = 2048, 4096, 8192
+SIZE, OPEN, STREAM = 2048, 64, 65_536
 END = np.zeros(1, dtype="<u4").tobytes()
 
 
-def best_fit(lengths: list[int], size: int = SIZE, open_bins: int = OPEN) -> tuple[list[int], list[int]]:
-    """Bin and offset of each length, in the order given."""
-    bins: list[int] = []
-    offsets: list[int] = []
-    by_free: list[list[int]] = [[] for _ in range(size + 1)]
-    free_bits = count = made = 0
-    for n in lengths:
-        fits = free_bits >> n
+class Bins:
+    """The open bins of one stream. made: bins so far, numbered from 0; most: open at once, at most."""
+
+    def __init__(self, size: int = SIZE, open_bins: int = OPEN):
+        self.size, self.open_bins = size, open_bins
+        self.by_free: list[list[int]] = [[] for _ in range(size + 1)]
+        self.free_bits = self.count = self.made = self.most = 0
+
+    def take(self, free: int) -> int:
+        b = self.by_free[free].pop()
+        if not self.by_free[free]:
+            self.free_bits &= ~(1 << free)
+        self.count -= 1
+        return b
+
+    def place(self, n: int) -> tuple[int, int]:
+        """Bin and offset of a piece of n tokens, 1 to size."""
+        fits = self.free_bits >> n
         if fits:
             free = n + (fits & -fits).bit_length() - 1
-            b = by_free[free].pop()
-            if not by_free[free]:
-                free_bits &= ~(1 << free)
-            count -= 1
+            b = self.take(free)
         else:
-            b, free, made = made, size, made + 1
-        bins.append(b)
-        offsets.append(size - free)
+            b, free = self.made, self.size
+            self.made += 1
         if left := free - n:
-            by_free[left].append(b)
-            free_bits |= 1 << left
-            count += 1
-            if count > open_bins:
-                fullest = (free_bits & -free_bits).bit_length() - 1
-                by_free[fullest].pop()
-                if not by_free[fullest]:
-                    free_bits &= ~(1 << fullest)
-                count -= 1
-    return bins, offsets
+            if self.count == self.open_bins:  # room for one more: the fullest closes, be it this one
+                fullest = (self.free_bits & -self.free_bits).bit_length() - 1 if self.free_bits else left
+                if left <= fullest:
+                    return b, self.size - free
+                self.take(fullest)
+            self.by_free[left].append(b)
+            self.free_bits |= 1 << left
+            self.count += 1
+            self.most = max(self.most, self.count)
+        return b, self.size - free
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
@@ -84,27 +92,32 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-def pack(cut: DataFrame, rows: int, size: int = SIZE, open_bins: int = OPEN, group: int = GROUP) -> DataFrame:
-    """cut (doc_id, piece, length and more, of lengths from 1 to size; rows of them, about) with
-    sequence_id and offset. Full pieces are sequences of their own with negative numbers; the
-    others are packed in groups. An empty table gives an empty table."""
+def pack(cut: DataFrame, rows: int, size: int = SIZE, open_bins: int = OPEN, stream: int = STREAM) -> DataFrame:
+    """cut (length from 1 to size, and more columns; rows of them, about) with sequence_id and offset.
+
+    Columns of cut with these two names are replaced, all others pass through, whatever they hold:
+    null and repeated ids are pieces like any other. Of equally free bins the newest is taken. An
+    empty table gives an empty table. A row keeps its stream if its task runs again.
+    """
     cut = common.without(cut, "sequence_id", "offset")
-    groups = max(1, -(-rows // group))
-    full = cut.filter(F.col("length") >= size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    short = cut.filter(F.col("length") < size)
+    plain = cut.select(*[F.col(f"`{c}`").alias("length" if c == "length" else f"_{i}") for i, c in enumerate(cut.columns)])
+    numbered = common.stash(plain.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    dealt = numbered.repartition(max(1, -(-rows // stream)), F.xxhash64("_row", F.lit(11))).sortWithinPartitions("_row")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        bins, offsets = best_fit(pdf["length"].tolist(), size, open_bins)
-        return pdf.drop(columns="_group").assign(sequence_id=np.array(bins, dtype=np.int64) + (int(key[0]) << 32), offset=np.array(offsets, dtype=np.int64))
+    def run(batches):
+        bins, first = Bins(size, open_bins), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            places = [bins.place(n) for n in batch.column("length").to_pylist()]
+            found = [pa.array([first + b for b, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    dealt = short.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(11)), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(run, full.schema).unionByName(full)
+    schema = T.StructType([*plain.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return dealt.mapInArrow(run, schema).toDF(*cut.columns, "sequence_id", "offset")
 
 
 def packed(docs: DataFrame, path: str) -> DataFrame:
     """Pieces of docs with their places in sequences of at most SIZE tokens."""
-    return pack(common.stash(pieces(docs, path), "pieces"), docs.count())
+    return pack(pieces(docs, path), docs.count())
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

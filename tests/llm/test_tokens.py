@@ -101,16 +101,46 @@ def test_count_edges(spark):
         token_counts.count(rows, BYTE, rule="other")
 
 
-def test_best_fit_keeps_few_bins_open():
+def naive_best_fit(lengths, size, most):
+    """Bin and offset of each length: a list of open bins, looked through for each."""
+    open_bins, out, made = [], [], 0  # (bin, used)
+    for n in lengths:
+        fits = [x for x in open_bins if size - x[1] >= n]
+        if fits:
+            used = max(x[1] for x in fits)
+            b = [x for x in fits if x[1] == used][-1]
+            open_bins.remove(b)
+        else:
+            b, made = (made, 0), made + 1
+        out.append(b)
+        open_bins.append((b[0], b[1] + n))
+        if open_bins[-1][1] == size:
+            open_bins.pop()
+        if len(open_bins) > most:
+            used = max(x[1] for x in open_bins)
+            open_bins.remove([x for x in open_bins if x[1] == used][-1])
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 3, 16, 64])
+def test_bounded_best_fit_equals_the_naive_one(most):
+    r = np.random.default_rng(most)
+    for size, high in ((50, 51), (2048, 2049), (2048, 700)):
+        lengths = r.integers(1, high, 1500).tolist()
+        bins = packing.Bins(size, most)
+        assert [bins.place(n) for n in lengths] == naive_best_fit(lengths, size, most)
+        assert bins.most <= most
+
+
+def test_the_bound_of_open_bins_is_reached(spark):
     r = np.random.default_rng(1)
-    lengths = sorted(r.integers(1, 2048, 3000).tolist(), reverse=True)
-    bins, offsets = packing.best_fit(lengths)
-    fill = {}
-    for n, b, o in zip(lengths, bins, offsets):
-        assert fill.get(b, 0) == o
-        fill[b] = o + n
-    assert max(fill.values()) <= packing.SIZE
-    assert len(fill) <= 1.01 * -(-sum(lengths) // packing.SIZE) + 1
+    bins = packing.Bins()
+    lengths = r.integers(1, packing.SIZE + 1, 3000).tolist()
+    for n in lengths:
+        bins.place(n)
+    assert bins.most == packing.OPEN < bins.made
+    cut = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long").coalesce(1)
+    assert [(r.sequence_id, r.offset) for r in packing.pack(cut, 3000).sort("doc_id").collect()] == naive_best_fit(lengths, packing.SIZE, packing.OPEN)
 
 
 def check_packing(spark, found, rows):
@@ -150,3 +180,17 @@ def test_pack_edges(spark):
     check_packing(spark, packing.packed(docs(spark, rows).withColumns({"piece": F.lit(1), "length": F.lit("x"), "_group": F.lit(0)}), BYTE).collect(), rows)
     assert packing.packed(docs(spark, []), BYTE).collect() == []
     assert len(packing.packed(docs(spark, [(None, "a"), (None, "a"), (7, "b"), (7, "b")]), BYTE).collect()) == 4
+
+
+def test_large_ids_beside_nulls_and_hot_ids(spark):
+    big = 2**53
+    rows = [(big + 1, "a"), (None, "b"), (big + 3, "c")] + [(None, "same words")] * 300 + [(7, "same words")] * 300
+    out = packing.pack(packing.pieces(docs(spark, rows), BYTE), len(rows), stream=100).collect()
+    assert {r.doc_id for r in out} == {big + 1, None, big + 3, 7} and len(out) == len(rows)
+    by_seq = {}
+    for r in out:
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_seq.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+    assert len({s >> 32 for s in by_seq}) > 1  # equal rows are dealt to several streams
