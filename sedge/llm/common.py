@@ -15,10 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is
-    unset (local tests, one machine) a folder under the temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, and in it one of the
+    application. Where that is unset, a folder under the temporary folder for a local master (one
+    machine), and an error for any other."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    return (configured or f"file://{os.path.join(tempfile.gettempdir(), 'sedge-shared')}").rstrip("/")
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = f"file://{os.path.join(tempfile.gettempdir(), 'sedge-shared')}"
+    return f"{configured.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what stash wrote in this application; DataFrames that read it are of no use then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
@@ -50,10 +61,12 @@ def fit_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int =
 
     At most per_class rows of each class, those with the smallest hash of doc_id, and of
     those only texts of at most max_chars code points: 2 * per_class * max_chars code
-    points reach the driver at most. Null texts, ids and labels take no part; of rows
-    that repeat a doc_id one is used.
+    points reach the driver at most. Null texts, ids and labels take no part, nor do ids that
+    are labelled both 0 and 1; of texts that repeat a doc_id the smallest is used. So the sample
+    does not depend on the order or the partitions of the rows.
     """
-    usable = labels.select("doc_id", F.col(column).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    given = labels.select("doc_id", F.col(column).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
+    usable = given.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_other")).filter("y = _other").select("doc_id", "y")
     picked = None
     for y in (0, 1):
         part = usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -63,15 +76,20 @@ def fit_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int =
     return [r[1] for r in got], [r[2] for r in got]
 
 
-#: Rows that a worker turns into Python objects at a time.
-SLICE = 256
+#: Rows, and bytes unless a row alone has more, that a worker turns into Python objects at a time.
+SLICE, SLICE_BYTES = 256, 32 << 20
 
 
-def slices(batches, rows: int = SLICE):
-    """The batches in pieces of so many rows, so that long texts are not all held as objects at once."""
+def slices(batches, rows: int = SLICE, most: int = SLICE_BYTES):
+    """The batches in pieces of so many rows and bytes, so that long texts are not all held as objects at once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        start = 0
+        while start < batch.num_rows:
+            piece = batch.slice(start, rows)
+            while piece.num_rows > 1 and piece.nbytes > most:
+                piece = piece.slice(0, piece.num_rows // 2)
+            start += piece.num_rows
+            yield piece
 
 
 class Cache(dict):

@@ -7,7 +7,7 @@ PAGES = "page_id long, url string, html string"
 
 
 def text_of(html):
-    return "\n\n".join(html_text.blocks(html)[0])
+    return "\n\n".join(x for x, kind in zip(*html_text.blocks(html)) if kind != html_text.OUTSIDE)
 
 
 def test_article_without_the_rest():
