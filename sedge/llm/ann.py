@@ -3,11 +3,15 @@
 Vectors are scaled to length 1 and cut into two halves; CENTROIDS centroids of either half, fitted
 on a bounded sample, make CENTROIDS^2 cells, and every vector is listed in the cell of its nearest
 pair. A query walks the pairs by ascending sum of its two distances with a heap until the cells it
-has met hold the share SHARE of all vectors; these entries are ranked by exact cosine.
+has met hold a share of all vectors; these entries are ranked by exact cosine. The share is measured:
+PROBES queries are answered by brute force over all rows, in one pass, and the share is what the
+walks need to meet TARGET of their neighbours.
 
 Cells are laid out in blocks of about BLOCK rows: small cells share a block, a large one is split,
 and the queries that visit a block come in chunks of about QUERIES. A task meets one block and one
-chunk, so neither a crowded cell nor a common query is ever in one task as a whole.
+chunk, so neither a crowded cell nor a common query is ever in one task as a whole. An entry is sent
+once for each chunk, a query once for each block with its last distance instead of its cells; up to
+QUERIES queries that is once for every entry.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 
 from sedge.llm import common
 
-CENTROIDS, SAMPLE, TURNS, SEED = 32, 8192, 15, 5
-SHARE, BLOCK, QUERIES = 0.5, 2048, 1024
+CENTROIDS, SAMPLE, TURNS, SEED = 64, 8192, 15, 5
+PROBES, TARGET, BLOCK, QUERIES, SLICE = 200, 0.94, 16_384, 16_384, 128
 MARGIN = 1e-9
 
 
@@ -106,30 +110,48 @@ def best(queries: np.ndarray, rows: np.ndarray, allowed: np.ndarray, ids: np.nda
             yield q, pick[order], exact[order]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHARE, centroids: int = CENTROIDS) -> DataFrame:
+def needed(vectors: np.ndarray, cells: list[list[int]], books: list[np.ndarray], sizes: np.ndarray, target: float) -> float:
+    """The share of all entries that walks from these vectors meet before `target` of the cells given
+    for each of them (of its true neighbours) are behind them."""
+    shares: list[float] = []
+    d = [squared(h, c) for h, c in zip(halves(vectors), books)]
+    for i, wanted in enumerate(cells):
+        met, have = {}, 0
+        for cell in walk(d[0][i], d[1][i], sizes, float("inf")):
+            have += int(sizes[cell])
+            met[cell] = have
+        shares += [met[c] for c in wanted]
+    return float(np.quantile(shares, target, method="higher")) / int(sizes.sum()) if shares else 1.0
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float | None = None, centroids: int = CENTROIDS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows that the index finds for each query.
 
-    vectors has vec_id and embedding; is_query says which of its rows are queries. Every usable row
+    vectors has vec_id and embedding; is_query says which of its rows are queries (all rows of a
+    vec_id, or none). share: which part of all entries a walk meets; None measures it. Every usable row
     is listed and may be found by any query but that of its own vec_id. Nearness is the cosine in
     double precision on the original vectors; ties go to the smaller vec_id. Vectors that are null,
     zero or hold a null or non-finite component take no part, nor do rows without vec_id or of
     another dimension than most of the sample. Rows that repeat a vec_id are candidates each, and
-    one query. Other columns do not matter. An empty table gives an empty table.
+    one query, with the smallest of their vectors. Other columns do not matter. An empty table gives
+    an empty table.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    sample = [r[0] for r in whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toLocalIterator()]
+    held = vectors.schema["embedding"].dataType.simpleString()
+    held = held if held == "array<float>" else "array<double>"
+    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(held).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    sample = [r[0] for r in whole.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE).select("vector").toLocalIterator()]
     if not sample:
         return empty
     widths, counts = np.unique([len(v) for v in sample], return_counts=True)
     width = int(widths[counts.argmax()])
-    books = [kmeans(h, centroids) for h in halves(np.array([v for v in sample if len(v) == width]))]
+    books = [kmeans(h, centroids) for h in halves(np.array([v for v in sample if len(v) == width], dtype=float))]
     k2 = len(books[1])
     whole = whole.filter(F.size("vector") == width)
 
     def matrix(column) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
 
     def assign(batches):
         for batch in batches:
@@ -137,12 +159,37 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHAR
                 near = [squared(h, c).argmin(1) for h, c in zip(halves(matrix(batch.column("vector"))), books)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((near[0] * k2 + near[1]).astype(np.int32))], names=[*batch.schema.names, "cell"])
 
-    listed = whole.mapInArrow(assign, "vec_id long, vector array<double>, asks boolean, cell int")
+    listed = whole.mapInArrow(assign, f"vec_id long, vector {held}, asks boolean, cell int")
     sizes = np.zeros(len(books[0]) * k2, dtype=np.int64)
     for r in listed.groupBy("cell").count().collect():  # a row for each cell at most
         sizes[r["cell"]] = r["count"]
     total = int(sizes.sum())
     first, parts = layout(sizes)
+    asked = whole.filter("asks").groupBy("vec_id").agg(F.min("vector").alias("vector"), F.count("*").alias("own"))
+
+    if share is None:
+        probes = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).collect()
+        if not probes:
+            return empty
+        probe_ids, probe_vectors = np.array([r.vec_id for r in probes]), np.array([r.vector for r in probes], dtype=float)
+
+        def exact(batches):
+            have: list[list] = [[] for _ in probes]
+            for batch in batches:
+                ids, cell, x = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("cell").to_numpy(zero_copy_only=False), matrix(batch.column("vector"))
+                for i, picked, scores in best(probe_vectors, x, probe_ids[:, None] != ids[None, :], ids, k):
+                    have[i] = sorted([*have[i], *zip((-scores).tolist(), ids[picked].tolist(), cell[picked].tolist())])[:k]
+            rows = [(i, -s, v, c) for i, got in enumerate(have) for s, v, c in got]
+            cols = list(zip(*rows)) or [[]] * 4
+            kinds = [pa.int32(), pa.float64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=["probe", "score", "vec_id", "cell"])
+
+        true = listed.select("vec_id", "vector", "cell").mapInArrow(exact, "probe int, score double, vec_id long, cell int")
+        top = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))
+        cells: list[list[int]] = [[] for _ in probes]
+        for r in true.withColumn("n", top).filter(F.col("n") <= k).collect():  # k rows for each probe at most
+            cells[r.probe].append(r.cell)
+        share = needed(probe_vectors, cells, books, sizes, TARGET)
 
     def place(batches):
         for batch in batches:
@@ -150,7 +197,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHAR
             part = batch.column("salt").to_numpy(zero_copy_only=False) % parts[cell]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), batch.column("cell"), pa.array(first[cell] + part)], names=["vec_id", "vector", "cell", "block"])
 
-    entries = listed.select("vec_id", "vector", "cell", F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(SEED)), 1).alias("salt")).mapInArrow(place, "vec_id long, vector array<double>, cell int, block long")
+    # equal rows are apart in a cell that is split: the salt also hashes where they were read
+    salt = F.shiftrightunsigned(F.xxhash64("vec_id", F.monotonically_increasing_id(), F.lit(SEED)), 1)
+    entries = common.stash(listed.select("vec_id", "vector", "cell", salt.alias("salt")).mapInArrow(place, f"vec_id long, vector {held}, cell int, block long"), "entries")
 
     def visit(batches):
         for batch in batches:
@@ -158,18 +207,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHAR
             if batch.num_rows:
                 v = matrix(batch.column("vector"))
                 d = [squared(h, c) for h, c in zip(halves(v), books)]
+                own = batch.column("own").to_pylist()
                 for i, vec_id in enumerate(batch.column("vec_id").to_pylist()):
-                    blocks: dict[int, list[int]] = {}
-                    for cell in walk(d[0][i], d[1][i], sizes, max(k + 1, share * total)):
-                        for b in range(int(first[cell]), int(first[cell] + parts[cell])):
-                            blocks.setdefault(b, []).append(cell)
-                    for b, cells in blocks.items():
-                        for column, x in zip(out, (vec_id, v[i], b, cells)):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int32()))], names=["query_id", "query", "block", "cells"])
-
-    asked = whole.filter("asks").select("vec_id", "vector").dropDuplicates(["vec_id"])
-    visits = common.stash(asked.mapInArrow(visit, "query_id long, query array<double>, block long, cells array<int>"), "visits")
+                    met = np.array(walk(d[0][i], d[1][i], sizes, max(k + own[i], share * total)))
+                    last = float((d[0][i][met // k2] + d[1][i][met % k2]).max())
+                    blocks = np.unique(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in met])).tolist()
+                    for column, x in zip(out, ([vec_id] * len(blocks), [i] * len(blocks), blocks, [last] * len(blocks))):
+                        column += x
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), batch.column("vector").take(pa.array(out[1], pa.int64())), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["query_id", "query", "block", "last"])
+
+    visits = common.stash(asked.mapInArrow(visit, f"query_id long, query {held}, block long, last double"), "visits")
     chunks = visits.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks"))
     left = entries.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     right = visits.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).drop("chunks")
@@ -178,15 +225,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHAR
         out: list[list] = [[], [], []]
         if len(rows) and len(queries):
             ids, cell = rows["vec_id"].to_numpy(), rows["cell"].to_numpy()
-            x, q, asker = np.stack(rows["vector"].to_list()), np.stack(queries["query"].to_list()), queries["query_id"].to_numpy()
-            allowed = np.zeros((len(q), len(x)), dtype=bool)
-            for i, cells in enumerate(queries["cells"]):
-                allowed[i] = np.isin(cell, cells)
-            allowed &= asker[:, None] != ids[None, :]
-            for i, picked, scores in best(q, x, allowed, ids, k):
-                out[0] += [asker[i]] * len(picked)
-                out[1] += ids[picked].tolist()
-                out[2] += scores.tolist()
+            x = np.stack(rows["vector"].to_list()).astype(float)
+            for at in range(0, len(queries), SLICE):
+                some = queries.iloc[at : at + SLICE]
+                q, asker, last = np.stack(some["query"].to_list()).astype(float), some["query_id"].to_numpy(), some["last"].to_numpy()
+                d = [squared(h, c) for h, c in zip(halves(q), books)]
+                allowed = d[0][:, cell // k2] + d[1][:, cell % k2] <= last[:, None] * (1 + MARGIN) + MARGIN
+                allowed &= asker[:, None] != ids[None, :]
+                for i, picked, scores in best(q, x, allowed, ids, k):
+                    out[0] += [asker[i]] * len(picked)
+                    out[1] += ids[picked].tolist()
+                    out[2] += scores.tolist()
         return pd.DataFrame({"query_id": np.array(out[0], dtype=np.int64), "vec_id": np.array(out[1], dtype=np.int64), "score": np.array(out[2], dtype=np.float64)})
 
     found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(rank, "query_id long, vec_id long, score double")

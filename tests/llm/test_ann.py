@@ -62,3 +62,36 @@ def test_walk_takes_pairs_in_order():
     d1, d2 = np.array([0.3, 0.1, 0.2]), np.array([0.5, 0.0])
     sizes = np.ones(6, dtype=int)
     assert ann.walk(d1, d2, sizes, 6) == [i * 2 + j for _, i, j in sorted((d1[i] + d2[j], i, j) for i in range(3) for j in range(2))]
+
+
+def test_own_id_repeated_more_than_k_times(spark):
+    rows = [(0, [1.0, 0.0], 0)] * 9 + [(i, [1.0, 0.01 * i], 0) for i in range(1, 40)]
+    found = ann.search(spark.createDataFrame(rows, KIND), F.col("vec_id") == 0, share=0.0).collect()
+    assert len(found) == 5 and all(r.vec_id != 0 for r in found)
+    found = ann.search(spark.createDataFrame(rows, KIND), F.col("vec_id") == 0, share=1.0).collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
+
+
+def test_clustered_vectors_need_a_small_share():
+    r = np.random.default_rng(3)
+    centers = r.normal(size=(40, 16))
+    x = np.concatenate([c + 0.01 * r.normal(size=(50, 16)) for c in centers])
+    books = [ann.kmeans(h, 32) for h in ann.halves(x)]
+    near = [ann.squared(h, c).argmin(1) for h, c in zip(ann.halves(x), books)]
+    cell = near[0] * len(books[1]) + near[1]
+    sizes = np.bincount(cell, minlength=len(books[0]) * len(books[1]))
+    wanted = [[int(cell[j]) for j in range(i - i % 50, i - i % 50 + 50)] for i in range(0, 2000, 100)]
+    assert ann.needed(x[::100], wanted, books, sizes, 0.94) < 0.2
+    assert ann.needed(x[::100], wanted, books, sizes, 1.0) <= 1.0
+
+
+def test_blocks_and_chunks_are_split(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERIES", 16)
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=8).astype(np.float32).tolist(), 0) for i in range(400)]
+    found = ann.search(spark.createDataFrame(rows, KIND), F.col("vec_id") % 3 == 0, share=1.0, centroids=8).collect()
+    want = exact([x[:2] for x in rows], lambda q: q % 3 == 0)
+    got = {}
+    for x in sorted(found, key=lambda x: (x.query_id, x.rank)):
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    assert got == {q: [i for i, _ in v] for q, v in want.items()}
