@@ -44,9 +44,23 @@ def test_edges(spark):
 
 
 def test_a_hot_row_is_spread_over_buckets(spark):
-    rows = docs(spark, [(1, "same")] * 500 + [(i, "other") for i in range(2, 300)])
-    out = sharding.sharded(rows, shards=2, bucket_bytes=100).collect()
-    assert sorted(r.slot for r in out if r.shard == 0) == list(range(sum(r.shard == 0 for r in out)))
+    rows = docs(spark, [(1, "same")] * 5000 + [(None, None)] * 3000 + [(i, "other") for i in range(2, 300)])
+    slots = defaultdict(list)
+    found = sharding.sharded(rows, shards=2, bucket_bytes=20_000).collect()
+    for r in found:
+        slots[r.shard].append(r.slot)
+    assert len(found) == 8298 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in found if r.doc_id == 1}) == len({r.shard for r in found if r.doc_id is None}) == 1
+    placed, _, buckets = sharding.scattered(rows, 2, 20_000, sharding.SEED)
+    held = placed.select("_row.doc_id", "_bucket").collect()
+    assert len({r._bucket for r in held if r.doc_id == 1}) > 10 and len({r._bucket for r in held if r.doc_id is None}) > 5
+    assert max(Counter(r._bucket for r in held).values()) < 2 * 20_000 / sharding.ROW_BYTES and buckets > 20
+
+
+def test_the_plan_has_no_python_and_one_shuffle_of_texts(spark):
+    plan = sharding.op4_sharding(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert plan.count("shufflepartitionidpassthrough") == 1
 
 
 def test_written_folders(spark, tmp_path):
