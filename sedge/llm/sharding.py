@@ -19,6 +19,8 @@ from sedge.llm import common
 SHARDS, BUCKET_BYTES, SEED = 16, 16 << 20, 42
 #: What a row takes in memory beside its text.
 ROW_BYTES = 64
+#: Up to so many buckets (a table of 16 TB by the defaults) their places, 24 bytes each, are broadcast.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def shard_of(doc_id: Column, shards: int, seed: int = SEED) -> Column:
@@ -72,6 +74,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_BY
     shard_at = F.array_max(F.transform(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("s")) for s, n in enumerate(firsts)]), lambda x: F.when(x["n"] <= F.col("_bucket"), x["s"])))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.withColumn("shard", shard_at).select("_bucket", "shard", before.alias("_before"))
+    offsets = F.broadcast(offsets) if buckets <= BROADCAST_BUCKETS else offsets
     whole = placed.repartitionById(buckets, "_bucket").groupBy("_bucket").agg(F.collect_list("_row").alias("_rows"))
     order = F.array_sort(F.transform("_rows", lambda r: F.struct(r["doc_id"].alias("id"), F.xxhash64(r["text"]).alias("t"), r.alias("r"))), lambda a, b: F.when(a["id"].eqNullSafe(b["id"]), F.when(a["t"] < b["t"], -1).when(a["t"] > b["t"], 1).otherwise(0)).when(a["id"].isNull() | (a["id"] < b["id"]), -1).otherwise(1))
     mixed = whole.select("_bucket", F.shuffle(order, F.lit(seed)).alias("_rows"))
