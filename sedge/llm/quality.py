@@ -1,12 +1,10 @@
 """Quality: a byte-level convolutional network in numpy.
 
-Input symbols are the UTF-8 bytes of a text, each with one more bit that says (for four
-bytes at a time) whether the eight bytes from there on were also read at most REPEAT_LAG bytes
-before. FILTERS learned filters of
-WIDTH symbols move over the whole text by STRIDE, are rectified and max-pooled over chunks of
-2 * HALF bytes of which neighbours overlap by half. The largest and the mean value of every
-filter over the chunks feed one logistic unit, which gives the probability. Filters and unit are
-trained together by Adam with gradients through the maxima.
+FILTERS learned filters of WIDTH bytes move over the UTF-8 bytes of the whole text by STRIDE, are
+max-pooled over chunks of 2 * HALF bytes of which neighbours overlap by half, and rectified. HIDDEN
+learned units combine the filters of a chunk, which may say that a chunk shows many patterns, or
+too few. The largest value of every unit over the chunks feeds one logistic unit, which gives the
+probability. All is trained together by Adam with gradients through the maxima.
 """
 
 from __future__ import annotations
@@ -21,34 +19,23 @@ from pyspark.sql import types as T
 
 from sedge.llm import common
 
-WIDTH, STRIDE, FILTERS, HALF = 8, 2, 16, 128
-REPEAT_LAG, SEGMENT = 32, 1 << 16
-STEPS, BATCH, RATE, SEED = 500, 24, 0.01, 7
+WIDTH, STRIDE, FILTERS, HIDDEN, HALF = 6, 1, 48, 16, 128
+SEGMENT = 1 << 16
+STEPS, BATCH, RATE, SEED = 800, 24, 0.01, 7
 FIT_PER_CLASS = 1500
 THRESHOLD = 0.5
 
 
 def symbols(text: str) -> np.ndarray:
-    """Byte values, plus 256 where the repeat bit is set; zero bytes pad to a whole block."""
+    """Byte values; zero bytes pad to a whole block and to the width of a filter behind it."""
     raw = text.encode("utf-8", "surrogatepass")
     n = max(HALF, -(-len(raw) // HALF) * HALF) + WIDTH
-    b = np.frombuffer(raw.ljust(n, b"\0"), dtype=np.uint8)
-    words = np.ndarray((n - 7,), dtype="<u8", buffer=b, strides=(1,))
-    phase = [words[r::4].copy() for r in range(4)]
-    here = phase[0]
-    again = np.zeros(len(here), dtype=bool)
-    for lag in range(2, REPEAT_LAG + 1):
-        back, r = -(-lag // 4), -lag % 4
-        again[back:] |= here[back:] == phase[r][: len(here) - back]
-    again = np.repeat(again, 4)[:n]
-    again = np.pad(again, (0, n - len(again)))
-    again[len(raw) :] = False
-    return b.astype(np.int64) + 256 * again
+    return np.frombuffer(raw.ljust(n, b"\0"), dtype=np.uint8)
 
 
 def maxima(sym: np.ndarray, table: np.ndarray, places: bool = False):
     """The largest response of each filter in every block of HALF bytes (a row a block), and
-    with places where it was. table: WIDTH x 512 x FILTERS."""
+    with places where it was. table: WIDTH x 256 x FILTERS."""
     blocks = (len(sym) - WIDTH) // HALF
     out, where = [], []
     step = SEGMENT // HALF
@@ -74,65 +61,85 @@ def pooled(blocks: np.ndarray) -> np.ndarray:
     return np.maximum(blocks[:-1], blocks[1:]) if len(blocks) > 1 else blocks
 
 
+def sigmoid(z: float) -> float:
+    return float(1 / (1 + np.exp(-max(-60.0, min(60.0, z)))))
+
+
 @dataclass
 class Model:
+    """table, bias: the filters; mix, lift: the units of a chunk; unit, shift: the logistic unit."""
+
     table: np.ndarray
     bias: np.ndarray
+    mix: np.ndarray
+    lift: np.ndarray
     unit: np.ndarray
-    shift: float
+    shift: np.ndarray
 
     def score(self, text: str | None) -> float:
         chunks = np.maximum(pooled(maxima(symbols(text or ""), self.table)[0]) + self.bias, 0)
-        z = self.shift + float(chunks.max(axis=0) @ self.unit[0] + chunks.mean(axis=0) @ self.unit[1])
-        return float(1 / (1 + np.exp(-max(-60.0, min(60.0, z)))))
+        units = np.maximum(chunks @ self.mix + self.lift, 0)
+        return sigmoid(float(self.shift[0] + units.max(axis=0) @ self.unit))
+
+
+def gradients(p: Model, sym: np.ndarray, label: int) -> tuple[float, dict[str, np.ndarray]]:
+    """The logarithmic loss of one text and its derivatives by all parameters."""
+    blocks, at = maxima(sym, p.table, places=True)
+    left = np.arange(max(1, len(blocks) - 1))
+    right = np.minimum(left + 1, len(blocks) - 1)
+    pick = np.where(blocks[left] >= blocks[right], left[:, None], right[:, None])
+    act = np.maximum(np.take_along_axis(blocks, pick, axis=0) + p.bias, 0)
+    units = np.maximum(act @ p.mix + p.lift, 0)
+    top = units.argmax(axis=0)
+    hi = units[top, np.arange(len(top))]
+    prob = sigmoid(float(p.shift[0] + hi @ p.unit))
+    err = prob - label
+    d_units = np.zeros_like(units)
+    d_units[top, np.arange(len(top))] = err * p.unit * (hi > 0)
+    rows = np.unique(top)  # all other chunks have no part in the result
+    act, d_units = act[rows], d_units[rows]
+    d_act = (d_units @ p.mix.T) * (act > 0)
+    g = {"shift": np.array([err]), "unit": err * hi, "mix": act.T @ d_units, "lift": d_units.sum(axis=0), "bias": d_act.sum(axis=0), "table": np.zeros_like(p.table)}
+    places = np.take_along_axis(at, pick, axis=0)[rows]
+    k = np.broadcast_to(np.arange(p.table.shape[2]), places.shape)
+    for j in range(WIDTH):
+        np.add.at(g["table"][j], (sym[places + j], k), d_act)
+    return -float(np.log(max(prob if label else 1 - prob, 1e-300))), g
+
+
+def started(seed: int = SEED) -> Model:
+    rng = np.random.default_rng(seed)
+    return Model(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), np.full(FILTERS, 0.1), rng.normal(0, 0.3, (FILTERS, HIDDEN)), np.full(HIDDEN, 0.1), rng.normal(0, 0.3, HIDDEN), np.zeros(1))
 
 
 def fit(texts: list[str], y: list[int], steps: int = STEPS) -> Model:
     """Deterministic. Without rows of both classes every score is 0.5. Batches hold as many
     rows of either class."""
-    rng = np.random.default_rng(SEED)
-    p = {"table": rng.normal(0, 0.1, (WIDTH, 512, FILTERS)).astype(np.float32), "bias": np.full(FILTERS, 0.1), "unit": rng.normal(0, 0.3, (2, FILTERS)), "shift": np.zeros(1)}
+    p, rng = started(), np.random.default_rng(SEED + 1)
     by = [[i for i, v in enumerate(y) if v == c] for c in (0, 1)]
     if not by[0] or not by[1]:
-        return Model(p["table"], p["bias"], np.zeros((2, FILTERS)), 0.0)
-    p["table"][:, 256:] = p["table"][:, :256]
-    m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+        p.unit[:] = 0
+        return p
+    names = ("table", "bias", "mix", "lift", "unit", "shift")
+    m, v = ({k: np.zeros_like(getattr(p, k)) for k in names} for _ in range(2))
     syms: dict[int, np.ndarray] = {}
     for t in range(1, steps + 1):
-        g = {k: np.zeros_like(a) for k, a in p.items()}
+        g = {k: np.zeros_like(getattr(p, k)) for k in names}
         for c in (0, 1):
             for i in rng.choice(by[c], BATCH // 2):
                 if i not in syms:
-                    syms[i] = symbols(texts[i]).astype(np.int16)
-                sym = syms[i].astype(np.int64)
-                blocks, at = maxima(sym, p["table"], places=True)
-                left = np.arange(max(1, len(blocks) - 1))
-                right = np.minimum(left + 1, len(blocks) - 1)
-                pick = np.where(blocks[left] >= blocks[right], left[:, None], right[:, None])
-                chunk = np.take_along_axis(blocks, pick, axis=0) + p["bias"]
-                act = np.maximum(chunk, 0)
-                top = act.argmax(axis=0)
-                hi, mean = act[top, np.arange(FILTERS)], act.mean(axis=0)
-                z = p["shift"][0] + hi @ p["unit"][0] + mean @ p["unit"][1]
-                err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - c) / BATCH
-                g["shift"] += err
-                g["unit"][0] += err * hi
-                g["unit"][1] += err * mean
-                d = np.tile(err * p["unit"][1] / len(act), (len(act), 1))
-                d[top, np.arange(FILTERS)] += err * p["unit"][0]
-                d *= chunk > 0
-                g["bias"] += d.sum(axis=0)
-                places = np.take_along_axis(at, pick, axis=0)
-                k = np.broadcast_to(np.arange(FILTERS), places.shape)
-                for j in range(WIDTH):
-                    np.add.at(g["table"][j], (sym[places + j], k), d)
-        g["unit"] += 1e-3 * p["unit"]
+                    syms[i] = symbols(texts[i])
+                for k, d in gradients(p, syms[i], c)[1].items():
+                    g[k] += d / BATCH
+        g["unit"] += 1e-3 * p.unit
+        g["mix"] += 1e-4 * p.mix
         rate = RATE * min(1.0, 2 * (1 - t / (steps + 1)))
-        for name, a in p.items():
-            m[name] = 0.9 * m[name] + 0.1 * g[name]
-            v[name] = 0.99 * v[name] + 0.01 * g[name] ** 2
-            a -= rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-8)
-    return Model(p["table"], p["bias"].astype(np.float32), p["unit"], float(p["shift"][0]))
+        for k in names:
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
+            a = getattr(p, k)
+            a -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+    return p
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
