@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sedge.functions import log_patterns
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -211,22 +213,11 @@ def clean_summary(text: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-# How the log of each runner is known; the first hit wins (on the cleaned log).
-RUNNERS: list[tuple[str, str]] = [
-    ("pytest", r"(?i)pytest|(?-i:= short test summary info =|FAILED\s+[A-Za-z0-9_/.\-]+::[A-Za-z0-9_]+|E\s+([A-Za-z_][A-Za-z0-9_]*)?(Error|Exception|assert):|_{5,}\s*test_[A-Za-z0-9_]+\s*_{5,})"),
-    ("unittest", r"(?m)^(FAIL|ERROR):\s+[^\s(]+"),
-    ("jest", r"FAIL |expect\(received\)\.|●\s+.*\s*›\s*"),
-    ("go_test", r"---\s+FAIL:\s+[^\s]+\s+\([^)]+\)"),
-    ("go", r"(?m)^panic:\s*"),
-    ("rust", r"thread\s+'[^']+'\s+panicked\s+at\s+'[^']+',\s*[^:]+:[0-9]+:[0-9]+"),
-    ("python", r"Traceback \(most recent call last\):|(SyntaxError|IndentationError):"),
-    ("node", r"(?m)^([A-Za-z_][A-Za-z0-9_]*)?(Error|Exception):.*(\n.*)*^\s*at\s+.*:[0-9]+:[0-9]+\)?"),
-]
-
-
 def runner(log: Column) -> Column:
-    name, pattern = RUNNERS[0]
-    out = F.when(log.rlike(pattern), name)
-    for name, pattern in RUNNERS[1:]:
-        out = out.when(log.rlike(pattern), name)
-    return out.otherwise("generic")
+    """Which runner or runtime wrote a cleaned log: the first that is known by its patterns."""
+    out = F.lit("generic")
+    for name, patterns in reversed(log_patterns.KNOWN):
+        known = reduce(Column.__or__, [log.rlike(log_patterns.java(p)) for p in patterns])
+        known = known & log.rlike(log_patterns.java(log_patterns.ALSO[name])) if name in log_patterns.ALSO else known
+        out = F.when(known, name).otherwise(out)
+    return out
