@@ -106,10 +106,24 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r"[^.]\.([A-Za-z0-9_+-]+)$", 1))
 
 
-def language_of(path: Column) -> Column:
+# What in a text shows its language, in this order, where the suffix does not.
+SNIFFED = [
+    ("python", r"(?m)^\s*(?:def|class|import|from|async\s+def)\s+|def |class |import |elif "),
+    ("go", r"(?m)^\s*(?:package|func)\s+"),
+    ("rust", r"\b(?:fn|impl|pub\s+fn)\b"),
+    ("typescript", r"export interface|export class|: string|: number|const |let "),
+    ("java", r"public class|System\.out\."),
+]
+
+
+def language_of(path: Column, text: Column | None = None) -> Column:
+    """By the suffix; where that is unknown by the text, if it is given, and else null."""
     ext = suffix(path)
-    known = F.create_map(*[F.lit(v) for kv in SUFFIX_LANGUAGE.items() for v in kv])
-    return known[ext]
+    known = F.create_map(*[F.lit(v) for kv in SUFFIX_LANGUAGE.items() for v in kv])[ext]
+    if text is None:
+        return known
+    shown = reduce(lambda out, s: F.when(text.rlike(s[1]), s[0]).otherwise(out), reversed(SNIFFED), F.lit(None).cast("string"))
+    return F.coalesce(known, shown)
 
 
 def normalized_path(path: Column, workspace: str = "") -> Column:

@@ -19,8 +19,20 @@ PROBES = ["", ".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".java", "/__in
 
 
 def shared_dir(spark) -> str:
-    """spark.checkpoint.dir, or where that is unset (one machine) a temporary folder."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or f"file://{os.path.join(tempfile.gettempdir(), 'sedge-shared')}").rstrip("/")
+    """A folder of the application in spark.checkpoint.dir. Where that is unset, a temporary folder
+    for a local master (one machine), and an error for any other."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = f"file://{os.path.join(tempfile.gettempdir(), 'sedge-shared')}"
+    return f"{configured.rstrip('/')}/graph-{spark.sparkContext.applicationId}"
+
+
+def clean(spark) -> None:
+    """Deletes what walks wrote in this application; their results are of no use then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions import exprs as x
@@ -75,13 +75,29 @@ def applied(preferences: DataFrame, feedback: DataFrame) -> DataFrame:
         F.coalesce("_c", "confidence").alias("confidence"),
         F.coalesce("_n", F.lit(-1)).alias("_n"),
     )
-    praise = feedback.filter(F.col("kind").isin("praise", "approval")).select("n", F.col("scope").alias("_s"))
-    everyone = praise.agg(F.sort_array(F.collect_set("n")).alias("_all"))  # global preferences hear all praise
-    by_scope = praise.groupBy("_s").agg(F.sort_array(F.collect_set("n")).alias("_own"))
-    heard = base.join(by_scope, F.col("scope") == F.col("_s"), "left").crossJoin(F.broadcast(everyone))
-    times = F.size(F.filter(F.when(F.col("scope") == "global", F.col("_all")).otherwise(F.coalesce("_own", F.array().cast("array<bigint>"))), lambda k: k > F.col("_n"))).cast("long")
-    now = F.col("adhered") + times
-    return heard.select("id", "scope", now.alias("adhered"), "violated", F.when(times > 0, confidence(now, F.col("violated"))).otherwise(F.col("confidence")).alias("confidence"))
+    praise = feedback.filter(F.col("kind").isin("praise", "approval")).select("n", "scope").distinct()
+    # global preferences hear all praise; praise of the scope "global" is heard by them alone
+    heard = praise.filter("scope <> 'global'").unionByName(praise.select("n").distinct().select("n", F.lit("global").alias("scope")))
+    both = base.join(later(heard, base.select("id", "scope", F.col("_n").alias("n"))), "id")
+    now = F.col("adhered") + F.col("times")
+    return both.select("id", "scope", now.alias("adhered"), "violated", F.when(F.col("times") > 0, confidence(now, F.col("violated"))).otherwise(F.col("confidence")).alias("confidence"))
+
+
+#: Numbers of events that are counted together.
+SPAN = 1 << 16
+
+
+def later(events: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, times: for each of asked (id, scope, n) how many events (scope, n) of its scope come after n.
+
+    Events are counted in spans of their numbers, the spans' counts are added up and only inside a
+    span rows are sorted, so neither a pair for each event nor a list of events is made.
+    """
+    rows = events.select("scope", "n", F.lit(None).cast(asked.schema["id"].dataType).alias("id"), F.lit(1).alias("one")).unionByName(asked.select("scope", "n", "id", F.lit(0).alias("one"))).withColumn("_b", F.floor(F.col("n") / SPAN))
+    sums = rows.groupBy("scope", "_b").agg(F.sum("one").alias("s"))
+    after = sums.select("scope", "_b", F.coalesce(F.sum("s").over(Window.partitionBy("scope").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("after"))
+    inside = F.sum("one").over(Window.partitionBy("scope", "_b").orderBy(F.desc("n"), "one").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("within", inside).filter("one = 0").join(after, ["scope", "_b"]).select("id", (F.col("within") + F.col("after")).alias("times"))
 
 
 def alignment(episodes: DataFrame, adherence: Column | float = 1.0) -> DataFrame:

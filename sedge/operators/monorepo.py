@@ -38,11 +38,18 @@ def import_forms(imp: Column) -> Column:
 PART = 4
 
 
-def parts_of(name: Column) -> Column:
-    """Every substring of at least PART characters."""
+def grams(name: Column) -> Column:
+    """Every different substring of PART characters."""
     n = F.length(name)
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - PART + 1, F.lit(1))), lambda i: F.transform(F.sequence(F.least(F.lit(PART), n - i + 1), n - i + 1), lambda k: F.substr(name, i, k))))
-    return F.array_distinct(F.filter(spans, lambda s: F.length(s) >= PART))
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n - PART + 1, F.lit(1))), lambda i: F.substr(name, i, F.lit(PART)))
+    return F.array_distinct(F.filter(cut, lambda s: F.length(s) == PART))
+
+
+def holding(long: DataFrame, short: DataFrame) -> DataFrame:
+    """long, short: values of long that hold one of short of PART characters or more. They meet at the first
+    PART characters of the short one, by equality, and are then compared."""
+    heads = short.filter(F.length("short") >= PART).select("short", F.substring("short", 1, PART).alias("gram"))
+    return long.select("long", F.explode(grams(F.col("long"))).alias("gram")).join(heads, "gram").filter(F.contains("long", F.col("short"))).select("long", "short").distinct()
 
 
 def dependencies(imports: DataFrame, packages: DataFrame | None = None) -> DataFrame:
@@ -51,14 +58,16 @@ def dependencies(imports: DataFrame, packages: DataFrame | None = None) -> DataF
     packages (package) are all there are; without them, those that import something.
 
     A form of the import and the package's name are equal (case and dashes aside), or the one holds
-    the other, if that has four characters or more. Substrings are matched by equality on both
-    sides, so no import is compared with every package.
+    the other, if that has four characters or more. The two meet at parts of four characters, so no
+    import is compared with every package, and work is linear in their lengths.
     """
     names = (packages or imports).select(F.col("package").alias("depends_on"), plain_name(F.col("package")).alias("name")).distinct()
     forms = imports.select("imp").distinct().select("imp", F.explode(import_forms(F.col("imp"))).alias("form")).select("imp", plain_name(F.col("form")).alias("form")).distinct()
     equal = forms.join(names, F.col("form") == F.col("name")).select("imp", "depends_on")
-    holds = forms.select("imp", F.explode(parts_of(F.col("form"))).alias("name")).distinct().join(names, "name").select("imp", "depends_on")
-    held = names.select("depends_on", F.explode(parts_of(F.col("name"))).alias("form")).distinct().join(forms, "form").select("imp", "depends_on")
+    a, b = forms.select("form").distinct(), names.select("name").distinct()
+    in_form = holding(a.toDF("long"), b.toDF("short")).toDF("form", "name")
+    in_name = holding(b.toDF("long"), a.toDF("short")).toDF("name", "form")
+    holds, held = (forms.join(p, "form").join(names, "name").select("imp", "depends_on") for p in (in_form, in_name))
     known = equal.unionByName(holds).unionByName(held).distinct()
     return imports.join(known, "imp").filter("package <> depends_on").select("package", "depends_on").distinct()
 

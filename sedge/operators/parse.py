@@ -160,12 +160,15 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select(*names).mapInArrow(run, schema)
 
 
-def module_names(files: DataFrame, roots: list[str] = ["src", "lib", "app", "packages"]) -> DataFrame:  # noqa: B006
+#: Folders that a project may have its sources in; each folder in packages, and its src, is one too.
+ROOTS = ["src", "lib", "app", "packages"]
+
+
+def module_names(files: DataFrame, roots: list[str] = [*ROOTS, "packages/*", "packages/*/src"]) -> DataFrame:  # noqa: B006
     """top: names that an import of the project itself can start with: folders and stems of source
-    files right under the project or one of its source roots."""
-    below = F.regexp_replace("path", f"^({'|'.join(roots)})/", "")
-    packaged = F.regexp_replace("path", "^packages/[^/]+/(src/)?", "")
-    first = F.explode(F.array("path", below, packaged)).alias("p")
+    files right under the project or one of its source roots; * stands for a folder."""
+    below = [F.when(F.col("path").rlike(p), F.regexp_replace("path", p, "")) for p in ("^" + re.escape(r).replace(r"\*", "[^/]+") + "/" for r in roots)]
+    first = F.explode(F.array_compact(F.array("path", *below))).alias("p")
     return files.select(first).select(F.regexp_replace(F.substring_index("p", "/", 1), r"\.(py|ts|tsx|js|jsx|go|rs|java)$", "").alias("top")).distinct()
 
 

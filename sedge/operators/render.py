@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,3 +129,29 @@ def popped(lines: list[str], tokens: int, least: int = 2) -> str:
         lines.pop()
     return "\n".join(lines)
 
+
+def code_block(title: str, language: str, text: str, tokens: int) -> str:
+    """A fenced block of code under its title: all lines, or as many as fit and a note that says so."""
+    whole = [title, f"```{language}", *text.strip().split("\n"), "```"]
+    if count_tokens("\n".join(whole)) <= tokens:
+        return "\n".join(whole)
+    tail = ["// ... [compacted for token budget]", "```"]
+    return "\n".join([*leading(whole[:-1], 4 * (tokens + 1) - 1 - sum(len(t) + 1 for t in tail), 2), *tail])
+
+
+def leading(lines: list[str], size: int, least: int = 0) -> list[str]:
+    """The first lines whose joined text has so many characters at most, but so many lines at least."""
+    ends = list(itertools.accumulate(len(line) + 1 for line in lines))
+    return lines[: max(least, bisect_right(ends, size + 1))]
+
+
+def closed(text: str, tokens: int) -> str:
+    """The text if it fits, else its first lines with the code block closed that they leave open."""
+    if count_tokens(text) <= tokens:
+        return text
+    lines = text.split("\n")
+    kept = leading(lines, 4 * (tokens + 1) - 1)
+    if "\n".join(kept).count("```") % 2:
+        kept = leading(lines, 4 * (tokens + 1) - 1 - len("\n```"))
+        kept = kept + ["```"] * ("\n".join(kept).count("```") % 2)
+    return "\n".join(kept)

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 
+import unicodedata
+from string import ascii_lowercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +18,23 @@ from sedge.functions import exprs as x
 
 WEIGHTS = {"name": 10, "simple_name": 10, "container": 5, "entity_type": 2, "relative_path": 2, "signature": 1, "docstring": 1}
 K1, B = 1.2, 0.75
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśşšţťūůűźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorssttuuuzzz"
+
+
+def _accents() -> dict[str, str]:
+    """Lower-case letters that are a Latin base letter and marks, with their base."""
+    out = {}
+    for code in range(0xC0, 0x1F00):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if parts[0] in ascii_lowercase and len(parts) > 1 and all(unicodedata.category(m) == "Mn" for m in parts[1:]):
+            out[chr(code)] = parts[0]
+    return {c: base for c, base in out.items() if c not in UNFOLDED}
+
+
+#: Composed letters that the tokenizer leaves as they are.
+UNFOLDED = "ǡ"
+ACCENTS = _accents() | dict.fromkeys("ſẛ", "s")
+#: What is folded, then the combining marks, which are dropped.
+ACCENTED, PLAIN = "".join(ACCENTS) + "".join(map(chr, range(0x300, 0x370))), "".join(ACCENTS.values())
 
 
 def find(symbols: DataFrame, query: str | None = None, kind: str | None = None, exact: bool = False, limit: int = 50, path: str | None = None) -> DataFrame:

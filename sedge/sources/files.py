@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 from pathlib import Path
 
@@ -12,17 +13,34 @@ from sedge.functions import exprs as x
 from sedge.operators import scan
 
 
-def source_files(spark: SparkSession, root: str, max_files: int = 10_000, ignored: set[str] = scan.IGNORED) -> DataFrame:
-    """path (relative), language, text, total_lines, size, mtime (seconds), sha256, minified, entry.
+FILE = "path string, language string, text string, size bigint, mtime double, total_lines int, sha256 string, minified boolean, entry boolean"
 
-    Files of the known extensions up to MAX_BYTES outside ignored and dot folders, read by the
-    executors; broken UTF-8 is replaced. The first max_files by path.
-    """
-    glob = "*.{" + ",".join(scan.LANGUAGES) + "}"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+
+def _relative(raw: DataFrame, root: str) -> DataFrame:
     base = str(root).split("://")[-1].rstrip("/") + "/"
-    inside = raw.withColumn("path", F.substr("path", F.instr("path", base) + F.lit(len(base)))).filter((F.col("length") > 0) & (F.col("length") <= scan.MAX_BYTES))
-    picked = scan.select_files(inside, ignored, max_files)
+    return raw.withColumns({"place": F.col("path"), "path": F.substr("path", F.instr("path", base) + F.lit(len(base)))})
+
+
+def listed(spark: SparkSession, root: str, max_files: int = 10_000, ignored: set[str] = scan.IGNORED) -> DataFrame:
+    """path (relative), place (as it is read) and mtime (seconds) of the files of the known extensions up to
+    MAX_BYTES outside ignored and dot folders; the first max_files by path. No content is read."""
+    glob = "*.{" + ",".join(scan.LANGUAGES) + "}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length", "modificationTime")
+    inside = _relative(raw, root).filter((F.col("length") > 0) & (F.col("length") <= scan.MAX_BYTES))
+    return scan.select_files(inside, ignored, max_files).select("path", "place", (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
+
+
+def source_files(spark: SparkSession, root: str, max_files: int = 10_000, ignored: set[str] = scan.IGNORED, cache: DataFrame | None = None) -> DataFrame:
+    """path (relative), language, text, total_lines, size, mtime (seconds), sha256, minified, entry of what
+    is listed, read by the executors; broken UTF-8 is replaced.
+
+    Only files that the cache (path, mtime) does not have at their time are read.
+    """
+    wanted = listed(spark, root, max_files, ignored)
+    places = [r.place for r in (wanted if cache is None else changed_only(wanted, cache)).select("place").collect()]  # max_files at most
+    if not places:
+        return spark.createDataFrame([], FILE)
+    picked = _relative(spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in places]), root)
     language = F.create_map(*[F.lit(v) for kv in scan.LANGUAGES.items() for v in kv])[x.suffix(F.col("path"))]
     text = F.make_valid_utf8(F.col("content").cast("string"))
     rows = picked.select("path", language.alias("language"), text.alias("text"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))

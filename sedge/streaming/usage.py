@@ -48,16 +48,24 @@ def scores(uses: DataFrame) -> DataFrame:
     return uses.groupBy("artifact").applyInPandasWithState(step, "artifact long, uses long, wins long, roi double", "uses long, wins long", "update", GroupStateTimeout.NoTimeout)
 
 
-def upserts(changes: DataFrame, folder: str, checkpoint: str, key: str = "artifact"):
-    """Starts a query that keeps the newest row of each key in numbered tables of the folder, each
-    written whole before the next; a batch that runs again after a failure writes the same one."""
+def newest(rows: DataFrame, key: str = "artifact", order: tuple[str, ...] = ("uses",)) -> DataFrame:
+    """The row of each key that is the last by order, and then by all its columns."""
+    names = [c for c in rows.columns if c != key]
+    last = F.struct(*order, *[c for c in names if c not in order])
+    return rows.groupBy(key).agg(F.max(last).alias("r")).select(*[key if c == key else f"r.{c}" for c in rows.columns])
+
+
+def upserts(changes: DataFrame, folder: str, checkpoint: str, key: str = "artifact", order: tuple[str, ...] = ("uses",)):
+    """Starts a query that keeps the newest row of each key, by order, in numbered tables of the
+    folder, each written whole before the next; a batch that runs again after a failure writes the
+    same one. An older row that arrives late does not replace a newer one."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        rows = batch
         if number:
             old = spark.read.parquet(f"{folder}/v{number - 1}")
-            new = old.join(new.select(key), key, "left_anti").unionByName(new.select(*old.columns))
-        new.write.mode("overwrite").parquet(f"{folder}/v{number}")
+            rows = old.unionByName(batch.select(*old.columns))
+        newest(rows, key, order).write.mode("overwrite").parquet(f"{folder}/v{number}")
 
     return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
