@@ -63,6 +63,12 @@ def classify(lines: DataFrame) -> DataFrame:
     return read.select("n", outcome.alias("outcome"), code.cast("long").alias("code"))
 
 
+def tools_of(calls: DataFrame) -> DataFrame:
+    """calls (action and more) with the tool of each action that is known."""
+    known = calls.sparkSession.createDataFrame(ACTIONS, "action string, tool string")
+    return calls.join(F.broadcast(known), "action")
+
+
 def routed(arguments: dict) -> tuple[str, dict]:
     """The tool and parameters of a call of the gateway: params may be an object or JSON text, and
     what stands beside them fills gaps."""

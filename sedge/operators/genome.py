@@ -20,6 +20,37 @@ CONVENTIONS = ["snake_case-functions", "PascalCase-classes", "type-annotated"]
 BUDGETS = {"dna": 350, "deps": 350, "apis": 400, "patterns": 200, "evolution": 200}
 
 
+def totals(files: DataFrame) -> DataFrame:
+    """One row: n files, their lines, and whether some path is one of tests (1 or 0; null without files)."""
+    return files.agg(F.count("*").alias("n"), F.coalesce(F.sum("total_lines"), F.lit(0)).alias("lines"), F.max(F.lower("path").rlike("unittest|test_").cast("int")).alias("tested"))
+
+
+def modules(files: DataFrame, top: int = 10) -> DataFrame:
+    """m: the first folders of paths."""
+    return files.filter(F.col("path").contains("/")).select(F.substring_index("path", "/", 1).alias("m")).distinct().orderBy("m").limit(top)
+
+
+def entry_points(files: DataFrame, top: int = 5) -> DataFrame:
+    return files.filter("entry").orderBy("path").select("path").limit(top)
+
+
+def internal_graph(imports: DataFrame, top: int = 5) -> DataFrame:
+    """path, needs: the first internal imports of each file that has some."""
+    return imports.filter(F.size("imports_internal") > 0).select("path", F.slice("imports_internal", 1, top).alias("needs"))
+
+
+def paradigms(symbols: DataFrame) -> DataFrame:
+    """One row: whether some function is async (a), whether some class is a dataclass (d); 1, 0 or null."""
+    a = F.col("entity_type").isin("function", "arrow_function") & F.col("signature").contains("async def")
+    d = (F.col("entity_type") == "class") & F.col("signature").contains("dataclass")
+    return symbols.agg(F.max(a.cast("int")).alias("a"), F.max(d.cast("int")).alias("d"))
+
+
+def build_system(names: list[str]) -> str:
+    """By the first of the known files among those of the root."""
+    return next((kind for name, kind in BUILD_FILES if name in names), "custom")
+
+
 def languages(files: DataFrame, top: int = 5) -> DataFrame:
     return files.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(top)
 
@@ -33,9 +64,9 @@ def packages(imports: DataFrame, top: int = 20) -> DataFrame:
     return imports.select(F.explode("imports_external").alias("package")).distinct().orderBy("package").limit(top)
 
 
-def frameworks(imports: DataFrame) -> DataFrame:
-    """framework, of the known ones."""
-    known = imports.sparkSession.createDataFrame(FRAMEWORKS, "signature string, framework string")
+def frameworks(imports: DataFrame, known: list[tuple[str, str]] = FRAMEWORKS) -> DataFrame:
+    """framework, of the known ones (signature, framework)."""
+    known = imports.sparkSession.createDataFrame(known, "signature string, framework string")
     names = imports.select(F.explode("imports_external").alias("p")).select(F.lower("p").alias("signature")).distinct()
     return names.join(F.broadcast(known), "signature").select("framework").distinct().orderBy("framework")
 
@@ -105,16 +136,16 @@ def cut_at_line(text: str, tokens: int) -> str:
 
 def build(files: DataFrame, symbols: DataFrame, imports: DataFrame, root_files: list[str], notes: DataFrame | None = None, commits: list[str] = ()) -> Genome:  # type: ignore[assignment]
     """The map of files (path, language, total_lines, entry), their symbols and imports."""
-    total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("total_lines"), F.lit(0)).alias("lines"), F.max(F.lower("path").rlike("unittest|test_").cast("int")).alias("tested")).first()
+    total = totals(files).first()
     lines = registry(symbols)
     first = lambda kind, top: [r.line for r in lines.filter(F.col("kind") == kind).orderBy("path", "position").limit(top).collect()]
-    shown = symbols.agg(F.max((F.col("entity_type").isin("function", "arrow_function") & F.col("signature").contains("async def")).cast("int")).alias("a"), F.max(((F.col("entity_type") == "class") & F.col("signature").contains("dataclass")).cast("int")).alias("d")).first()
+    shown = paradigms(symbols).first()
     return Genome(
         languages=[(r.language, r.n) for r in languages(files).collect()],
         frameworks=[r.framework for r in frameworks(imports).collect()],
-        entry_points=[r.path for r in files.filter("entry").orderBy("path").select("path").limit(5).collect()],
-        modules=[r.m for r in files.filter(F.col("path").contains("/")).select(F.substring_index("path", "/", 1).alias("m")).distinct().orderBy("m").limit(10).collect()],
-        build_system=next((kind for name, kind in BUILD_FILES if name in root_files), "custom"),
+        entry_points=[r.path for r in entry_points(files).collect()],
+        modules=[r.m for r in modules(files).collect()],
+        build_system=build_system(root_files),
         test_framework="unittest/pytest" if total.tested else "none",
         files=total.n,
         lines=total.lines,

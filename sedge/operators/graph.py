@@ -147,5 +147,6 @@ def ordered_tests(tiers: DataFrame) -> DataFrame:
     return tiers.groupBy("test").agg(F.min("tier").alias("tier")).orderBy("tier", "test")
 
 
-def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+def first_by(df: DataFrame, keys: list[str], *order: Column | str, n: int = 1) -> DataFrame:
+    """The first n rows by order of each group of keys; each task passes on n rows of a group at most."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")

@@ -11,7 +11,7 @@ import re
 import unicodedata
 from string import ascii_lowercase
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions import exprs as x
@@ -58,6 +58,27 @@ def find(symbols: DataFrame, query: str | None = None, kind: str | None = None,
     return df.orderBy(*order).limit(limit)
 
 
+def lookup(symbols: DataFrame, wanted: DataFrame, limit: int = 50) -> DataFrame:
+    """q, place (from 1) and the symbols that an exact find of each q of wanted gives.
+
+    Two joins on equality; a symbol that matches by both names counts once. Of a name that very many
+    symbols have, each task passes on `limit` rows at most.
+    """
+    asked = wanted.select("q", x.fold(F.col("q")).alias("_q")).distinct()
+    rows = symbols.withColumns({"_s": x.fold(F.col("simple_name")), "_n": x.fold(F.col("name"))})
+    simple = rows.join(asked, F.col("_s") == F.col("_q")).withColumn("_r", F.lit(1))
+    full = rows.join(asked, (F.col("_n") == F.col("_q")) & (F.coalesce("_s", F.lit("")) != F.col("_q"))).withColumn("_r", F.lit(2))
+    order = Window.partitionBy("q").orderBy("_r", "line_number", "relative_path", "id")
+    best = simple.unionByName(full).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    return best.select("q", "place", *symbols.columns)
+
+
+def holders(symbols: DataFrame, name: str) -> DataFrame:
+    """relative_path of the files that hold a symbol of this name, alone or in a container."""
+    named = (F.col("name") == name) | F.col("name").endswith("." + name)
+    return symbols.filter(named).select("relative_path").distinct()
+
+
 def terms(c: Column) -> Column:
     """Case and accents folded, cut at all that is neither letter nor digit."""
     return F.filter(F.split(F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+"), lambda t: t != "")

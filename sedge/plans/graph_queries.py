@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sedge.functions import exprs as x
-from sedge.operators import dispatch, graph, monorepo, render
+from sedge.operators import dispatch, genome, graph, memory, monorepo, render, search
 from sedge.plans.registry import query, values_sql
 
 
@@ -22,7 +21,7 @@ def resolve_imports(t):
 
 @query("SELECT dep, consumer FROM v_edges")
 def ingress_edges(t):
-    return t.edges()
+    return graph.ingress(t.resolved())
 
 
 _DOMAIN = ["src/auth/login.py", "tests/test_login.py", "src/cart.ts", "web/cart.test.ts", "pkg/pay.go", "pkg/pay_test.go", "tests/test-cart.js", "tests/unrelated_test.py"]
@@ -36,7 +35,7 @@ def tests_for_files(t):
 
 @query("SELECT DISTINCT relative_path FROM v_symbols WHERE name = 'red_widget' OR name LIKE '%.red\\_widget' ESCAPE '\\'")
 def symbol_targets(t):
-    return t.symbols().filter((F.col("name") == "red_widget") | F.col("name").endswith(".red_widget")).select("relative_path").distinct()
+    return search.holders(t.symbols(), "red_widget")
 
 
 _WALK = """WITH RECURSIVE base AS (SELECT e.dep, e.consumer, coalesce(t.is_test, FALSE) AS is_test FROM v_edges e LEFT JOIN v_tests t ON t.v = e.consumer),
@@ -111,9 +110,16 @@ def package_deps(t):
     return monorepo.dependencies(t.values(_PACKS, "package string, imp string"))
 
 
-@query("SELECT owner AS package, CAST(count(*) AS BIGINT) AS files FROM v_package_files GROUP BY owner")
+@query(
+    """WITH n AS (SELECT owner AS package, count(*) AS n FROM v_package_files GROUP BY owner),
+    d AS (SELECT a.package, string_agg(b.package, ', ' ORDER BY b.package) AS needs FROM v_packages a JOIN v_packages b ON a.n_nationkey % 5 = b.n_nationkey % 5 AND a.n_nationkey > b.n_nationkey GROUP BY a.package)
+    SELECT p.package, '• ' || p.package || ' [Generic, ' || coalesce(n.n, 0) || ' files, ' || p.package || ']' || CASE WHEN d.needs IS NULL THEN '' ELSE ' -> ' || d.needs END AS line FROM v_packages p LEFT JOIN n USING (package) LEFT JOIN d USING (package)"""
+)
 def package_topology(t):
-    return t.package_files().groupBy(F.col("owner").alias("package")).agg(F.count("*").alias("files"))
+    kinds = t.packages().select("package", F.lit("Generic").alias("kind"), F.col("package").alias("rel_path"))
+    key = t.packages().select("package", F.col("n_nationkey").alias("k"), (F.col("n_nationkey") % 5).alias("g"))
+    needs = key.join(key.toDF("depends_on", "k2", "g"), "g").filter("k > k2").select("package", "depends_on")
+    return monorepo.root_map(t.package_files().select(F.col("owner").alias("package")), kinds, needs)
 
 
 @query("SELECT CASE WHEN n_name IS NULL AND r_name IS NULL THEN 'all' WHEN n_name IS NULL THEN r_name ELSE r_name || '/' || n_name END AS package, CAST(count(*) AS BIGINT) AS files FROM customer JOIN v_packages ON c_nationkey = n_nationkey GROUP BY ROLLUP (r_name, n_name)")
@@ -128,10 +134,12 @@ def package_match(t):
     return monorepo.match(t.packages().select("package"), "why is asia/nation_2 slow")
 
 
-@query("SELECT DISTINCT f.framework FROM v_imports i JOIN (VALUES ('/the', 'Theta'), ('/and', 'Andes'), ('/fastapi', 'FastAPI'), ('/of', 'Offshore')) f(signature, framework) ON lower(i.imp) = f.signature")
+_SIGNATURES = [*genome.FRAMEWORKS, ("the", "Theta"), ("and", "Andes"), ("of", "Offshore")]
+
+
+@query(f"SELECT DISTINCT f.framework FROM v_imports i JOIN {values_sql(_SIGNATURES, 'signature, framework').replace(' v(', ' f(')} ON lower(split_part(ltrim(i.imp, '/'), '/', 1)) = f.signature")
 def framework_detect(t):
-    known = t.values([("/the", "Theta"), ("/and", "Andes"), ("/fastapi", "FastAPI"), ("/of", "Offshore")], "signature string, framework string")
-    return t.imports().select(F.lower("imp").alias("signature")).join(F.broadcast(known), "signature").select("framework").distinct()
+    return genome.frameworks(t.module_imports(), _SIGNATURES)
 
 
 @query("SELECT owner, path FROM (SELECT owner, path, sum(length(path) + 1) OVER (PARTITION BY owner ORDER BY path ROWS UNBOUNDED PRECEDING) - 1 AS size FROM v_package_files) WHERE size < 4 * 101")
@@ -139,9 +147,14 @@ def budget_prefix(t):
     return render.within_budget(t.package_files().select("owner", "path"), "path", 100, ["owner"], F.col("path")).select("owner", "path")
 
 
-@query("SELECT id, line FROM (SELECT id, line, sum(length(line) + 1) OVER (ORDER BY roi DESC, id ROWS UNBOUNDED PRECEDING) - 1 AS size FROM (SELECT id, roi, '- [' || kind || '] ' || CAST(id AS VARCHAR) AS line FROM v_artifacts)) WHERE size < 4 * 501")
+@query(
+    """SELECT id, line FROM (SELECT id, line, sum(length(line) + 1) OVER (ORDER BY roi DESC, id ROWS UNBOUNDED PRECEDING) - 1 AS size FROM (
+    SELECT id, roi, '- [' || upper(kind) || '] **lesson ' || CAST(id AS VARCHAR) || '**' || CASE WHEN scope = 'global' THEN '' ELSE ' `[' || scope || ']`' END || CASE WHEN uses > 3 THEN ' `[' || kind || ', often]`' ELSE '' END || ': used ' || CAST(uses AS VARCHAR) || ' times' AS line FROM v_artifacts)) WHERE size < 4 * 501"""
+)
 def memory_summary_budget(t):
-    lines = t.artifacts().select("id", "roi", F.concat(F.lit("- ["), "kind", F.lit("] "), F.col("id").cast("string")).alias("line"))
+    tags = F.when(F.col("uses") > 3, F.array("kind", F.lit("often"))).otherwise(F.array().cast("array<string>"))
+    named = t.artifacts().withColumns({"name": F.concat(F.lit("lesson "), F.col("id").cast("string")), "tags": tags, "content": F.concat(F.lit("used "), F.col("uses").cast("string"), F.lit(" times"))})
+    lines = named.select("id", "roi", memory.summary_line().alias("line"))
     best = lines.orderBy(F.desc("roi"), "id").limit(4 * 501)
     return render.within_budget(best, "line", 500, [], F.desc("roi"), F.col("id")).select("id", "line")
 
@@ -154,7 +167,7 @@ def budget_weights(t):
     return render.shares(t.values(_BLOCKS, "block string, weight int, floor int"), 1200)
 
 
-@query("SELECT CAST(c.conv_id AS BIGINT) AS conv_id, CASE WHEN EXISTS (SELECT 1 FROM (VALUES ('the'), ('tion')) w(word) WHERE contains(lower(c.text), w.word)) THEN 1 ELSE 0 END AS hit FROM conversations c WHERE turn = 0")
+@query("SELECT c.conv_id, c.turn, CASE WHEN EXISTS (SELECT 1 FROM (VALUES ('the'), ('tion')) w(word) WHERE contains(lower(c.text), w.word)) THEN 1 ELSE 0 END AS hit FROM conversations c")
 def task_entity_match(t):
     words = render.task_words("of the tion")
     return t.conversations.select("conv_id", "turn", x.contains_any(F.lower("text"), words).cast("int").alias("hit"))
@@ -163,7 +176,7 @@ def task_entity_match(t):
 @query("SELECT action, tool FROM " + values_sql([("blast", "blast_radius"), ("symbols", "find_symbols"), ("eval", "harness_eval")], "action, tool"))
 def action_alias(t):
     asked = t.values([("blast",), ("symbols",), ("eval",), ("nothing",)], "action string")
-    return asked.join(F.broadcast(t.values(dispatch.ACTIONS, "action string, tool string")), "action").select("action", "tool")
+    return dispatch.tools_of(asked).select("action", "tool")
 
 
 _RPC = [(1, '{"jsonrpc":"2.0","id":1,"method":"ping"}', "ok", 0), (2, '{"jsonrpc":"2.0","id":2,"method":"nope"}', "error", -32601), (3, '{"jsonrpc":"2.0","method":"initialized"}', "silent", 0), (4, "{broken", "error", -32700), (5, '{"id":5}', "error", -32600), (6, '{"jsonrpc":"2.0","id":6,"method":"resources/read","params":null}', "error", -32602)]
@@ -176,5 +189,4 @@ def rpc_classify(t):
 
 @query("SELECT c_nationkey, CAST(c_custkey AS BIGINT) AS c_custkey FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer) WHERE n <= 5")
 def top_per_group(t):
-    n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
-    return t.customer.withColumn("n", n).filter("n <= 5").select("c_nationkey", "c_custkey")
+    return graph.first_by(t.customer, ["c_nationkey"], F.desc("c_acctbal"), "c_custkey", n=5).select("c_nationkey", "c_custkey")

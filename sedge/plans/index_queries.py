@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sedge.functions import exprs as x
-from sedge.operators import scan, search
-from sedge.plans.registry import query
+from sedge.operators import genome, graph, parse, scan, search, skeleton
+from sedge.plans.registry import query, values_sql
 
 SYMBOL = ["id", "name", "entity_type", "relative_path", "line_number"]
 _SYM = "id, name, entity_type, relative_path, line_number"
@@ -66,11 +66,14 @@ def todo_markers(t):
     return scan.todo_markers(t.values(_TODO, "path string, text string"))
 
 
-@query("SELECT name, split_part(name, '.', 1) AS container, split_part(name, '.', 2) AS simple_name, CAST(count(*) AS BIGINT) AS n FROM v_symbols GROUP BY ALL")
+@query(
+    """SELECT CAST(id AS VARCHAR) AS path, 0 AS position, container AS name, '' AS container, container AS simple_name, 'class' AS entity_type FROM v_symbols
+    UNION ALL SELECT CAST(id AS VARCHAR), 1, name, container, simple_name, 'method' FROM v_symbols"""
+)
 def symbol_explode(t):
-    nested = t.symbols().groupBy("relative_path").agg(F.collect_list("name").alias("names"))
-    each = nested.select(F.explode("names").alias("name"))
-    return each.groupBy("name", F.regexp_replace("name", r"\.[^.]*$", "").alias("container"), F.substring_index("name", ".", -1).alias("simple_name")).agg(F.count("*").alias("n"))
+    entity = lambda kind, name: F.struct(F.lit(kind).alias("entity_type"), F.col(name).alias("name"), "signature", "docstring", "line_number")
+    files = t.symbols().select(F.col("id").cast("string").alias("path"), F.array(entity("class", "container"), entity("method", "name")).alias("entities"))
+    return parse.symbols(files).select("path", "position", "name", "container", "simple_name", "entity_type")
 
 
 @query("SELECT path, size, 1 AS version FROM v_files WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0 UNION ALL SELECT path, size, 2 FROM v_files WHERE doc_id % 4 = 0")
@@ -80,7 +83,7 @@ def upsert_replace(t):
     return scan.upsert(old, files.filter("doc_id % 4 = 0").select("path", "size", F.lit(2).alias("version")))
 
 
-@query("SELECT path, size FROM v_files WHERE doc_id % 10 = 3 AND doc_id % 4 <> 1")
+@query("SELECT path, size FROM v_files WHERE doc_id % 4 <> 1")
 def cache_lookup(t):
     files = t.files()
     cache = files.select("path", "size", F.col("doc_id").cast("double").alias("mtime"))
@@ -100,8 +103,6 @@ def prune_missing(t):
     """SELECT page_id, array_to_string(list_sort(list(imp))[1:15], ',') AS internal FROM v_imports WHERE imp LIKE '/%' OR imp LIKE '.%' OR imp LIKE '@/%' OR imp LIKE '~/%' GROUP BY page_id"""
 )
 def extract_imports(t):
-    from sedge.operators import parse
-
     found = t.pages.select("page_id", parse.hrefs(F.col("html")).alias("imps"))
     inner = F.filter("imps", lambda i: i.startswith("/") | i.startswith(".") | i.startswith("@/") | i.startswith("~/"))
     return found.select("page_id", F.array_join(F.slice(F.array_sort(inner), 1, 15), ",").alias("internal")).filter("internal <> ''")
@@ -129,6 +130,16 @@ def symbol_filtered(t):
     return search.find(t.symbols(), "bolt", kind="economy", path="pkg_1", limit=20).select(*SYMBOL)
 
 
+@query(
+    """SELECT q, CAST(place AS INTEGER) AS place, id FROM (SELECT q.q, s.id, row_number() OVER (PARTITION BY q.q ORDER BY CASE WHEN lower(s.simple_name) = q.q THEN 1 ELSE 2 END, s.line_number, s.relative_path, s.id) AS place
+    FROM (SELECT lower(simple_name) AS q FROM v_symbols UNION SELECT lower(name) FROM v_symbols) q JOIN v_symbols s ON lower(s.simple_name) = q.q OR lower(s.name) = q.q) WHERE place <= 50"""
+)
+def symbol_lookup_batch(t):
+    """Every different name of the table looked up at once, as so many exact finds would."""
+    names = t.symbols().select(F.explode(F.array(x.fold(F.col("simple_name")), x.fold(F.col("name")))).alias("q")).distinct()
+    return search.lookup(t.symbols(), names).select("q", "place", "id")
+
+
 @query(_hits("TRUE", "relative_path, line_number, id", 100))
 def symbol_all_sorted(t):
     return search.find(t.symbols(), limit=100).select(*SYMBOL)
@@ -194,6 +205,14 @@ def classify_frame(t):
     return t.values([(p,) for p in _FRAMES], "path string").select("path", x.is_project_frame(F.col("path")).cast("int").alias("project"))
 
 
+_SNIFF = [("a", "def f(): pass", "python"), ("b", "package main", "go"), ("c", "pub fn x() {}", "rust"), ("d", "let a = 1", "typescript"), ("e", "System.out.print(1)", "java"), ("f.rs", "def f", "rust"), ("g.txt", "plain", "")]
+
+
+@query("SELECT path, language FROM " + values_sql([(s[0], s[2]) for s in _SNIFF], "path, language"))
+def sniff_language(t):
+    return t.values([s[:2] for s in _SNIFF], "path string, text string").select("path", F.coalesce(x.language_of(F.col("path"), F.col("text")), F.lit("")).alias("language"))
+
+
 _LANGS = {"a/b.py": "python", "c.TSX": "typescript", "d.jsx": "javascript", "e.rs": "rust", "f.hpp": "cpp", "g.h": "c", "i.java": "java", "j.cs": "csharp", "k.go": "go", "l.cc": "cpp"}
 
 
@@ -221,46 +240,74 @@ def json_props(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT language, CAST(count(*) AS BIGINT) AS files FROM v_files GROUP BY language")
+@query("SELECT language, CAST(count(*) AS BIGINT) AS files FROM v_files GROUP BY language ORDER BY files DESC, language LIMIT 5")
 def language_counts(t):
-    return t.files().groupBy("language").agg(F.count("*").alias("files"))
+    return genome.languages(t.files()).withColumnRenamed("n", "files")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(total_lines) AS BIGINT) AS lines FROM v_files")
+@query("SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(total_lines) AS BIGINT) AS lines, max(CASE WHEN regexp_matches(lower(path), 'unittest|test_') THEN 1 ELSE 0 END) AS tested FROM v_files")
 def corpus_totals(t):
-    return t.files().agg(F.count("*").alias("files"), F.sum("total_lines").alias("lines"))
+    return genome.totals(t.files()).withColumnRenamed("n", "files")
 
 
 @query("SELECT DISTINCT split_part(path, '/', 1) AS module FROM v_files ORDER BY module LIMIT 10")
 def modules(t):
-    return t.files().select(F.substring_index("path", "/", 1).alias("module")).distinct().orderBy("module").limit(10)
+    return genome.modules(t.files()).withColumnRenamed("m", "module")
+
+
+@query("SELECT CAST(doc_id AS BIGINT) AS doc_id, 'src/' || source || CASE WHEN doc_id % 9 = 0 THEN '/main.py' ELSE '/doc_' || doc_id || '.py' END AS path FROM documents WHERE doc_id % 9 = 0 ORDER BY path, doc_id LIMIT 5")
+def entry_point_top(t):
+    named = t.documents.select("doc_id", F.concat(F.lit("src/"), "source", F.when(F.col("doc_id") % 9 == 0, "/main.py").otherwise(F.concat(F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".py")))).alias("path"))
+    first = genome.entry_points(named.withColumn("entry", scan.is_entry(F.col("path"))).withColumn("path", F.format_string("%s %09d", "path", "doc_id")))
+    return first.select(F.substring_index("path", " ", -1).cast("long").alias("doc_id"), F.substring_index("path", " ", 1).alias("path"))
+
+
+@query("SELECT 'page_' || CAST(page_id AS VARCHAR) AS path, array_to_string(list_sort(list(imp))[1:5], ',') AS needs FROM v_imports GROUP BY page_id")
+def internal_graph(t):
+    return genome.internal_graph(t.module_imports()).withColumn("needs", F.array_join("needs", ","))
+
+
+_BUILDS = [("a", ["setup.py", "package.json"], "python-pip/setuptools"), ("b", ["package.json", "Cargo.toml"], "npm/yarn"), ("c", ["Cargo.toml", "go.mod"], "cargo"), ("d", ["go.mod"], "go-modules"), ("e", ["README"], "custom")]
+
+
+@query("SELECT * FROM " + values_sql([(b[0], b[2]) for b in _BUILDS], "name, build"))
+def build_systems(t):
+    return t.values([(b[0], genome.build_system(b[1])) for b in _BUILDS], "name string, build string")
 
 
 @query("SELECT DISTINCT split_part(ltrim(imp, '/'), '/', 1) AS package FROM v_imports ORDER BY package LIMIT 20")
 def external_packages(t):
-    return t.imports().select(F.substring_index(F.ltrim(F.col("imp"), F.lit("/")), "/", 1).alias("package")).distinct().orderBy("package").limit(20)
+    return genome.packages(t.module_imports())
 
 
 @query("SELECT imp, CAST(count(*) AS BIGINT) AS fan_in FROM v_imports GROUP BY imp ORDER BY fan_in DESC, imp LIMIT 5")
 def hotspots(t):
-    return t.imports().groupBy("imp").agg(F.count("*").alias("fan_in")).orderBy(F.desc("fan_in"), "imp").limit(5)
+    return genome.hotspots(t.module_imports())
+
 
+def _kinds(t):
+    """Symbols as classes, functions and methods, by their numbers."""
+    kind = F.when(F.col("id") % 3 == 0, "class").when(F.col("id") % 3 == 1, "function").otherwise("method")
+    text = F.when(F.col("id") % 12 == 1, F.concat(F.lit("async "), "signature")).when(F.col("id") % 30 == 0, F.concat(F.lit("@dataclass "), "signature")).otherwise(F.col("signature"))
+    return t.symbols().withColumns({"entity_type": kind, "signature": text, "path": F.col("relative_path"), "position": F.col("id")})
 
-@query("SELECT id, signature || ' [' || relative_path || ':' || CAST(line_number AS VARCHAR) || '] - ' || substr(docstring, 1, 40) AS entry FROM v_symbols WHERE entity_type <> 'large'")
+
+@query(
+    """SELECT id AS position, CASE id % 3 WHEN 0 THEN 'class' ELSE 'function' END AS kind, CASE WHEN id % 12 = 1 THEN 'async ' WHEN id % 30 = 0 THEN '@dataclass ' ELSE '' END || signature || ' [' || relative_path || ':' || CAST(line_number AS VARCHAR) || '] - ' || substr(docstring, 1, 40) AS line
+    FROM v_symbols WHERE id % 3 <> 2"""
+)
 def api_registry(t):
-    s = t.symbols().filter("entity_type <> 'large'")
-    return s.select("id", F.concat("signature", F.lit(" ["), "relative_path", F.lit(":"), F.col("line_number").cast("string"), F.lit("] - "), F.substring("docstring", 1, 40)).alias("entry"))
+    return genome.registry(_kinds(t)).select("position", "kind", "line")
 
 
-@query("SELECT max(CASE WHEN signature LIKE '%widget%' THEN 1 ELSE 0 END) AS any_widget, max(CASE WHEN signature LIKE '%async def%' THEN 1 ELSE 0 END) AS any_async FROM v_symbols")
+@query("SELECT max(CASE WHEN id % 12 = 1 THEN 1 ELSE 0 END) AS any_async, max(CASE WHEN id % 30 = 0 THEN 1 ELSE 0 END) AS any_dataclass FROM v_symbols")
 def paradigms(t):
-    has = lambda w: F.max(F.col("signature").contains(w).cast("int"))
-    return t.symbols().agg(has("widget").alias("any_widget"), has("async def").alias("any_async"))
+    return genome.paradigms(_kinds(t)).withColumnsRenamed({"a": "any_async", "d": "any_dataclass"})
 
 
 @query("SELECT doc_id, left(sha256(text), 10) AS hash FROM v_files")
 def content_hash(t):
-    return t.files().select("doc_id", F.substring(F.sha2("text", 256), 1, 10).alias("hash"))
+    return t.files().select("doc_id", x.short_id(F.col("text")).alias("hash"))
 
 
 @query("SELECT doc_id, CAST(CASE WHEN size = 0 THEN 0 ELSE greatest(1, size // 4) END AS BIGINT) AS tokens FROM v_files")
@@ -268,12 +315,8 @@ def token_estimate(t):
     return t.files().select("doc_id", x.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(
-    """SELECT language, round(1 - CAST(sum(CASE WHEN length(split_part(text, chr(10), 1)) = 0 THEN 0 ELSE greatest(1, length(split_part(text, chr(10), 1)) // 4) END) AS DOUBLE) / sum(CASE WHEN size = 0 THEN 0 ELSE greatest(1, size // 4) END), 6) AS ratio FROM v_files GROUP BY language"""
-)
+@query()  # no SQL folds code; tests/test_whole.py has it against skeletons written by hand
 def compression_ratio(t):
-    from sedge.operators import skeleton
-
     folded = skeleton.skeletons(t.files().select("language", "text"))
     return folded.groupBy("language").agg(F.round(1 - F.sum("tokens") / F.sum(x.token_estimate(F.col("text"))), 6).alias("ratio"))
 
@@ -301,6 +344,6 @@ def log_tail(t):
     return t.files().select("doc_id", x.log_tail(F.col("text"), 3).alias("tail"))
 
 
-@query("SELECT artifact, arg_min(event_id, us) AS first_event FROM v_usage GROUP BY artifact")
+@query("SELECT artifact, event_id AS first_event FROM (SELECT artifact, event_id, row_number() OVER (PARTITION BY artifact ORDER BY us, event_id) AS n FROM v_usage) WHERE n = 1")
 def first_seen_dedup(t):
-    return t.usage().groupBy("artifact").agg(F.min_by("event_id", "us").alias("first_event"))
+    return graph.first_by(t.usage(), ["artifact"], "us", "event_id").select("artifact", F.col("event_id").alias("first_event"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sedge.functions import exprs as x
 from sedge.operators import harness, memory
 from sedge.plans.registry import query, values_sql
+from sedge.streaming import usage
 
 _NOW = "epoch_us(TIMESTAMP '2024-02-15 00:00:00')"
 NOW_US = 1707955200 * 1_000_000
@@ -100,6 +100,20 @@ def lesson_merge(t):
     return memory.merged(old, new).withColumn("tags", F.array_join("tags", ","))
 
 
+@query(
+    """SELECT n, least(count(*), 50) AS left_over, round(max(CASE WHEN g = 0 THEN r END), 6) AS best FROM (SELECT g AS n, id, roi * pow(95e-2, g) AS r, 0 AS g FROM v_artifacts, range(1, 4) x(g)) WHERE r >= 3e-1 GROUP BY n"""
+)
+def evolve_summary(t):
+    """How many artifacts are left after each of three generations, and the best score."""
+    out, rows = None, t.artifacts()
+    for n in (1, 2, 3):
+        rows = memory.decayed(rows)
+        kept = memory.evolve(rows).filter(~F.col("pruned"))
+        one = kept.agg(F.count("*").alias("left_over"), F.round(F.max("roi"), 6).alias("best")).filter("left_over > 0").select(F.lit(n).cast("long").alias("n"), "left_over", "best")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT conv_id, round((asks + 2) / (turns + 3e0), 6) AS confidence FROM v_episodes")
 def preference_confidence(t):
     return t.episodes().select("conv_id", F.round(harness.confidence(F.col("asks"), F.col("turns") - F.col("asks")), 6).alias("confidence"))
@@ -216,18 +230,18 @@ def clean_summary(t):
     return t.values([(_SUMMARY,)], "text string").select(x.clean_summary(F.col("text")).alias("text"))
 
 
-def _by_window(t, window):
-    return t.usage().withColumn("at", F.col("ts").cast("timestamp")).groupBy(window, "artifact").agg(F.count("*").alias("uses"), F.sum(F.col("success").cast("long")).alias("wins"))
+def _timely(t):
+    return t.usage().withColumn("at", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT CAST(us // 86400000000 * 86400 AS BIGINT) AS start, artifact, count(*) AS uses, CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS wins FROM v_usage GROUP BY ALL")
 def usage_tumbling(t):
-    return _by_window(t, F.window("at", "1 day").alias("w")).select(F.unix_timestamp("w.start").alias("start"), "artifact", "uses", "wins")
+    return usage.windowed(_timely(t)).withColumn("start", F.unix_timestamp("start"))
 
 
 @query("SELECT CAST((us // 21600000000 - k) * 21600 AS BIGINT) AS start, artifact, count(*) AS uses, CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS wins FROM v_usage, range(0, 4) k(k) GROUP BY ALL")
 def usage_sliding(t):
-    return _by_window(t, F.window("at", "1 day", "6 hours").alias("w")).select(F.unix_timestamp("w.start").alias("start"), "artifact", "uses", "wins")
+    return usage.windowed(_timely(t), "1 day", "6 hours").withColumn("start", F.unix_timestamp("start"))
 
 
 @query(
@@ -235,11 +249,9 @@ def usage_sliding(t):
     FROM (SELECT artifact, us, lag(us) OVER (PARTITION BY artifact ORDER BY us) AS prev FROM v_usage)) GROUP BY artifact, s"""
 )
 def usage_session(t):
-    rows = t.usage().withColumn("at", F.col("ts").cast("timestamp"))
-    return rows.groupBy(F.session_window("at", "6 hours").alias("w"), "artifact").agg(F.count("*").alias("uses")).select(F.unix_micros("w.start").alias("start_us"), "artifact", "uses")
+    return usage.sessions(_timely(t)).select(F.unix_micros("start").alias("start_us"), "artifact", "uses")
 
 
 @query("SELECT artifact, event_id AS last_event FROM (SELECT artifact, event_id, row_number() OVER (PARTITION BY artifact ORDER BY us DESC, event_id DESC) AS n FROM v_usage) WHERE n = 1")
 def usage_latest(t):
-    n = F.row_number().over(Window.partitionBy("artifact").orderBy(F.desc("us"), F.desc("event_id")))
-    return t.usage().withColumn("n", n).filter("n = 1").select("artifact", F.col("event_id").alias("last_event"))
+    return usage.newest(t.usage(), order=("us", "event_id")).select("artifact", F.col("event_id").alias("last_event"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sedge.functions import exprs as x
-from sedge.operators import errors, parse, render, sinks, skeleton
+from sedge.operators import errors, genome, parse, render, sinks, skeleton
 from sedge.plans.registry import query, values_sql
 
 _LOGS = [
@@ -215,3 +215,46 @@ def compaction_schedule(t):
         one = got.select("n", shown("transitive_consumers", 25).alias("far"), shown("direct_consumers", 12).alias("near"), shown("targets", 10).alias("own"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_FOCUSED = "import os\n\n\ndef keep(a):\n    b = a + 1\n    return b\n\n\ndef fold(a):\n    b = a + 2\n    return b\n"
+_FALLBACK = "def broken(:\n    a = 1\n    return a\n"
+#: What stands in the tree for the focused function is no definition, so no empty line comes before it.
+_FALLEN = [(1, "import os\ndef keep(a):\n    b = a + 1\n    return b\n\ndef fold(a):\n    ... [L10-L11]", 0), (2, "def broken(:\n    ... [L2-L3]", 1), (3, "import os\n\ndef keep(a):\n    ... [L5-L6]\n\ndef fold(a):\n    ... [L10-L11]", 1)]
+
+
+@query("SELECT CAST(n AS BIGINT) AS n, skeleton, warned FROM " + values_sql(_FALLEN, "n, skeleton, warned"))
+def skeleton_focus(t):
+    """A focused function verbatim, a file that does not parse folded by indents, and a focus that is not there."""
+    files = t.values([(1, _FOCUSED, "python", "keep"), (2, _FALLBACK, "python", None), (3, _FOCUSED, "python", "gone")], "n long, text string, language string, focus string")
+    return skeleton.skeletons(files).select("n", "skeleton", F.col("warning").isNotNull().cast("int").alias("warned"))
+
+
+_DISTILL = [
+    (1, 'Traceback (most recent call last):\n  File "src/cart.py", line 9, in pay\n    return row["id"]\nKeyError: \'id\'', None, None, "KeyError", "src/cart.py", 9, "Safe Key Lookup in Cart", "cart,keyerror,mapping,key-error"),
+    (2, "FAILED tests/test_mean.py::test_mean - ZeroDivisionError: division by zero\nsrc/mean.py:4: in mean\n    return total / n", None, None, "ZeroDivisionError", "src/mean.py", 4, "Non-Zero Divisor Guard in Mean", "mean,zerodivisionerror,math,division"),
+    (3, 'Traceback (most recent call last):\n  File "src/user_store.py", line 3, in load\nTypeError: bad', "+if user is not None:", None, "TypeError", "src/user_store.py", 3, "Null Guard in UserStore", "user_store,typeerror,guard,null-safety"),
+    (4, "panic: runtime error: index out of range [3]\n\ngoroutine 1 [running]:\nmain.pick(0x1)\n\t/srv/pick.go:12 +0x1d\n", None, "check the length", "IndexOutOfRange", "/srv/pick.go", 12, "Pick Fix: check the length", "pick,indexoutofrange,fix"),
+]
+
+
+@query("SELECT CAST(n AS BIGINT) AS n, error_type, file, CAST(line AS BIGINT) AS line, name, tags FROM " + values_sql([(d[0], *d[4:]) for d in _DISTILL], "n, error_type, file, line, name, tags"))
+def distill_pipeline(t):
+    logs = t.values([d[:4] for d in _DISTILL], "n long, log string, diff string, fix string")
+    return errors.distilled(logs).select("n", "error_type", "file", F.col("line").cast("long").alias("line"), "name", F.array_join("tags", ",").alias("tags"))
+
+
+_GENOME = genome.Genome(languages=[("Python", 3), ("Go", 1)], entry_points=["main.py"], modules=["src"], build_system="cargo", files=4, lines=1234, packages=["numpy"], hotspots=[("shop.cart", 2)], classes=["class Cart [a.py:1]"], functions=["def total [a.py:9]", "def load [b.py:3]"], paradigms=["async/await"], todos=["a.py:4 [TODO] x"])
+_MAP = [
+    (1, "[ARCHITECTURE_DNA]\nlangs: Python(3), Go(1)\nentry_points: main.py\nmodules: src\nbuild_test: build=cargo | test=none\nmetrics: 4 files, 1,234 lines"),
+    (2, "[DEPENDENCY_MATRIX]\nexternal: numpy\nhotspots: shop.cart(2)"),
+    (3, "[API_REGISTRY]\nclasses:\n  • class Cart [a.py:1]\nfunctions:\n  • def total [a.py:9]\n  • def load [b.py:3]"),
+    (4, "[PATTERN_STANDARDS]\nconventions: snake_case-functions, PascalCase-classes, type-annotated\nparadigms: async/await"),
+    (5, "[EVOLUTION_HOTSPOTS]\ntodo_markers:\n  • a.py:4 [TODO] x"),
+]
+
+
+@query("SELECT CAST(n AS BIGINT) AS n, block FROM " + values_sql(_MAP, "n, block"))
+def genome_blocks(t):
+    """The blocks of a project's map, as its compact text has them after the heading."""
+    return t.values(list(enumerate(_GENOME.compact(1500).split("\n\n")[1:], 1)), "n long, block string")

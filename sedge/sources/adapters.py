@@ -52,9 +52,15 @@ class Tables:
             F.concat_ws(" ", F.lit("Handles"), F.lower("p_type"), F.col("p_name")).alias("docstring"),
         )
 
-    def edges(self) -> DataFrame:
+    def resolved(self) -> DataFrame:
+        """Resolved imports (dep, caller), with repeats and imports of a file by itself."""
         n = self.customer.agg(F.count("*").alias("n"))
-        return self.orders.crossJoin(F.broadcast(n)).select((F.col("o_orderkey") % F.col("n")).alias("dep"), F.col("o_custkey").alias("consumer")).filter("dep <> consumer").distinct()
+        return self.orders.crossJoin(F.broadcast(n)).select((F.col("o_orderkey") % F.col("n")).alias("dep"), F.col("o_custkey").alias("caller"))
+
+    def edges(self) -> DataFrame:
+        from sedge.operators import graph
+
+        return graph.ingress(self.resolved())
 
     def tests(self) -> DataFrame:
         return self.customer.select(F.col("c_custkey").alias("v"), (F.col("c_mktsegment") == "MACHINERY").alias("is_test"))
@@ -63,6 +69,14 @@ class Tables:
         found = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))))
         return self.pages.select("page_id", F.regexp_replace("url", "^https?://", "").alias("caller"), found.alias("imp"))
 
+    def module_imports(self) -> DataFrame:
+        """path, imports_internal and imports_external: the links of a page, and their first parts."""
+        from sedge.operators import parse
+
+        links = F.array_sort(parse.hrefs(F.col("html")))
+        outer = F.array_sort(F.array_distinct(F.transform(links, lambda i: F.substring_index(F.ltrim(i, F.lit("/")), "/", 1))))
+        return self.pages.select("page_id", F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("path"), links.alias("imports_internal"), outer.alias("imports_external"))
+
     def usage(self) -> DataFrame:
         return self.events.select(F.col("user_id").alias("artifact"), (F.col("event_type") != "error").alias("success"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "ts")
 
@@ -94,7 +108,7 @@ SQL = {
     "v_symbols": """SELECT p_partkey AS id, replace(p_brand, '#', '_') || '.' || replace(p_name, ' ', '_') AS name, replace(p_name, ' ', '_') AS simple_name, replace(p_brand, '#', '_') AS container, lower(p_type) AS entity_type,
         'pkg_' || CAST(p_size AS VARCHAR) || '/mod_' || CAST(p_partkey % 40 AS VARCHAR) || '.py' AS relative_path, CAST(p_partkey % 500 + 1 AS BIGINT) AS line_number, 'def ' || replace(p_name, ' ', '_') || '(self)' AS signature,
         'Handles ' || lower(p_type) || ' ' || p_name AS docstring FROM part""",
-    "v_edges": """SELECT DISTINCT o_orderkey % (SELECT count(*) FROM customer) AS dep, o_custkey AS consumer FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % (SELECT count(*) FROM customer) <> o_custkey""",
+    "v_edges": """SELECT DISTINCT o_orderkey % (SELECT count(*) FROM customer) AS dep, o_custkey AS consumer FROM orders WHERE o_orderkey % (SELECT count(*) FROM customer) <> o_custkey""",
     "v_tests": "SELECT c_custkey AS v, c_mktsegment = 'MACHINERY' AS is_test FROM customer",
     "v_imports": """SELECT page_id, regexp_replace(url, '^https?://', '') AS caller, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS imp FROM pages""",
     "v_usage": "SELECT user_id AS artifact, event_type <> 'error' AS success, epoch_us(ts) AS us, event_id, ts FROM events",

@@ -27,4 +27,5 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(plans.QUERIES) == set(plans.ORACLES)
+    """But for the one that folds code, which tests/test_whole.py has."""
+    assert set(plans.QUERIES) - set(plans.ORACLES) == {"compression_ratio"}
