@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 
 def injected(text: Column, start: str, end: str, body: str, heading: str = "") -> Column:
     """text with the body in its last block between the tags, where the tags stand alone on lines;
-    else in the last block anywhere; else after the text, under the heading."""
+    else in the last block anywhere; else after the text, under the heading. A block starts at the
+    last start before its end, so a start without an end takes no text with it."""
     s, e = (re.sub(r"([^\w\s])", r"\\\1", tag) for tag in (start, end))
     block = F.lit(f"{start}\n{body.strip()}\n{end}")
     text = F.coalesce(text, F.lit(""))
     last = lambda pattern: F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(-1))
-    found = F.coalesce(last(rf"(?smd)^[ \t]*{s}[ \t]*\r?$.*?^[ \t]*{e}[ \t]*\r?$"), last(rf"(?s){s}.*?{e}"))
+    alone = rf"^[ \t]*{s}[ \t]*\r?$"
+    whole, part = last(rf"(?smd){alone}.*?^[ \t]*{e}[ \t]*\r?$"), last(rf"(?s){s}.*?{e}")
+    found = F.coalesce(F.regexp_extract(whole, rf"(?smd)\A.*({alone}.*)\z", 1), F.regexp_extract(part, rf"(?s)\A.*({s}.*)\z", 1))
     tail = _after_last(text, found)
     head = F.substr(text, F.lit(1), F.length(text) - F.length(tail) - F.length(found))
+    head, tail = F.regexp_replace(head, r"(\A|\n)[ \t]+\z", "$1"), F.regexp_replace(tail, r"\A[ \t]*\r?(?=\n|\z)", "")
     closed = lambda c: F.when(c.endswith("\n"), c).otherwise(F.concat(c, F.lit("\n")))
     stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
     under = F.concat(F.lit(f"{heading}\n" if heading else ""), block, F.lit("\n"))
@@ -41,10 +45,14 @@ def _after_last(text: Column, part: Column) -> Column:
 def put_block(text: str, start: str, end: str, body: str, heading: str = "") -> str:
     """The same for one text in the driver."""
     block = f"{start}\n{body.strip()}\n{end}"
-    alone = rf"^[ \t]*{re.escape(start)}[ \t]*\r?$.*?^[ \t]*{re.escape(end)}[ \t]*\r?$"
-    spots = [m.span() for m in re.finditer(alone, text, re.S | re.M)] or [m.span() for m in re.finditer(f"{re.escape(start)}.*?{re.escape(end)}", text, re.S)]
-    if spots:
-        out = text[: spots[-1][0]] + block + text[spots[-1][1] :]
+    alone = rf"^[ \t]*{re.escape(start)}[ \t]*\r?$"
+    for begin, pattern in ((alone, rf"{alone}.*?^[ \t]*{re.escape(end)}[ \t]*\r?$"), (re.escape(start), f"{re.escape(start)}.*?{re.escape(end)}")):
+        spots = [m.span() for m in re.finditer(pattern, text, re.S | re.M)]
+        if not spots:
+            continue
+        first = max(m.start() for m in re.compile(begin, re.M).finditer(text, *spots[-1]))
+        head, tail = re.sub(r"(\A|\n)[ \t]+\Z", r"\1", text[:first]), re.sub(r"\A[ \t]*\r?(?=\n|\Z)", "", text[spots[-1][1] :])
+        out = head + block + tail
         return out if out.endswith("\n") else out + "\n"
     return "\n\n".join(filter(None, [text.strip(), "\n".join(filter(None, [heading, block]))])) + "\n"
 
