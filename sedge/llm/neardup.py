@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 import functools
+import logging
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ ERRORS, SMALL = 5.5, REGISTERS
 #: Chance that two registers of different hashes agree: about 2^-MANTISSA / 3 summed over zeros.
 COLLISION = 2.0**-MANTISSA / 1.5
 
+#: Rounds of stars at most, and members of a bucket that meet its one row in one task.
+ROUNDS, HOT = 200, 100_000
+
+_LOG = logging.getLogger(__name__)
 _RNG = np.random.default_rng(20240601)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,11 +193,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 def components(edges: DataFrame) -> DataFrame:
     """id, label: the smallest id that each end of an edge (a, b) can reach.
 
-    Alternates large and small stars, each cut by a written table, until nothing changes.
+    Alternates large and small stars, each cut by a written table, until nothing changes. That takes
+    rounds in proportion to the square of the logarithm of the edges; ROUNDS ends a run that never would.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     before = None
-    while True:
+    for turn in range(ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
@@ -200,9 +206,12 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
         now = common.stash(small, "stars")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.countDistinct("u")).first()
+        _LOG.info("stars, round %d: %d edges", turn + 1, state[0])
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
@@ -218,17 +227,28 @@ def tokens(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, s long")
 
 
+def met(rows: DataFrame, ones: DataFrame) -> DataFrame:
+    """rows (key, n, id and more; n of them have the key) with the columns of ones, a row for each key.
+
+    A key of more than HOT rows is split by id, and its one row is given to each part.
+    """
+    parts = lambda n: F.ceil(n / HOT).cast("int")
+    sizes = rows.select("key", F.pmod(F.xxhash64("id"), parts(F.col("n"))).cast("int").alias("_part"), *[c for c in rows.columns if c != "key"])
+    each = ones.withColumn("_part", F.explode(F.sequence(F.lit(0), parts(F.col("_n")) - 1))).drop("_n")
+    return sizes.join(each, ["key", "_part"]).drop("_part")
+
+
 def contenders(at: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different labels among the texts that a bucket joins across labels, less
     those whose bounds rule the similarity out. The bounds are exact, so no link is lost.
 
-    at has key, id, label. First, a text of n shingles of which u are in no other text at hand can
+    at has key, n (how many rows have it), id, label. First, a text of n shingles of which u are in no other text at hand can
     have no link if 100 * (n - u) < percent * n. The shingles of those that remain are put in one
     order, the rarest first. If the first that two texts share stands at i and j, they share at
     most min(na - i, nb - j), so a pair is only made where that may do: texts meet at rare shingles.
     """
-    open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    open_ids = common.stash(at.join(open_keys, "key").select("id", "label").distinct(), "open")
+    open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("_n")).filter("lo < hi").select("key", "_n")
+    open_ids = common.stash(met(at, open_keys).select("id", "label").distinct(), "open")
     sizes = sketches.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
     several = F.col("copies") > 1  # an id with several texts has no bounds
     alone = tokens(texts, open_ids, words).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other").groupBy("id").agg(F.count("*").alias("u"))
@@ -258,16 +278,16 @@ def links_of(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
     # the hub of a band is the member whose bands are the most crowded: the centre of its group
     crowd = keys.join(keys.groupBy("id").agg(F.sum("n").alias("crowd")), "id")
-    hubs = crowd.groupBy("key").agg(F.max(F.struct("crowd", (-F.col("id")).alias("hub"))).alias("h"))
-    found = keys.join(hubs.select("key", "h"), "key").select("id", (-F.col("h.hub")).alias("hub"), F.col("h.crowd").alias("crowd")).filter("id <> hub")
+    hubs = crowd.groupBy("key").agg(F.max(F.struct("crowd", (-F.col("id")).alias("hub"))).alias("h"), F.max("n").alias("_n"))
+    found = met(keys, hubs).select("id", (-F.col("h.hub")).alias("hub"), F.col("h.crowd").alias("crowd")).filter("id <> hub")
     votes = found.groupBy("id", "hub").agg(F.count("*").alias("n"), F.max("crowd").alias("crowd"))
     chosen = votes.groupBy("id").agg(F.max(F.struct("n", "crowd", (-F.col("hub")).alias("h"))).alias("w")).select((-F.col("w.h")).alias("a"), F.col("id").alias("b"))
     tested = ordered(chosen)
     links = common.stash(confirmed(plausible(tested, sketches, percent), texts, words, percent), "links")
     labels = None if links.isEmpty() else common.stash(components(links), "labels")
 
-    at = keys.select("key", "id")
-    at = at.withColumn("label", F.col("id")) if labels is None else at.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    at = keys.select("key", "n", "id")
+    at = at.withColumn("label", F.col("id")) if labels is None else at.join(labels, "id", "left").select("key", "n", "id", F.coalesce("label", "id").alias("label"))
     rest = ordered(contenders(at, texts, sketches, words, percent)).join(tested, ["a", "b"], "left_anti")
     new = common.stash(confirmed(plausible(rest, sketches, percent), texts, words, percent), "links")
     if new.isEmpty():

@@ -59,3 +59,25 @@ def test_whole_table(spark):
     result = connect(sf).execute(queries.oracle_sql()["op8_neardup"])
     assert comparable(df.columns, df.collect()) == comparable([d[0] for d in result.description], result.fetchall())
     assert df.count() == common.table(spark, sf, "documents").count()
+
+
+def test_a_bucket_with_very_many_members_is_split(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 1000)
+    rows = spark.range(100_000).select(F.lit(7).cast("long").alias("key"), F.lit(100_000).cast("long").alias("n"), "id").unionByName(spark.createDataFrame([(1, 2, 5), (1, 2, 6)], "key long, n long, id long"))
+    ones = rows.groupBy("key").agg(F.min("id").alias("h"), F.max("n").alias("_n"))
+    assert rows.count() == neardup.met(rows, ones).count() == 100_002
+    parts = neardup.met(rows, ones).select("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 1000)).alias("p")).groupBy("key", "p").count().agg(F.max("count")).first()[0]
+    assert parts < 1_300
+
+
+def test_hot_buckets_give_the_same_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 3)
+    r = random.Random(8)
+    base = [" ".join(f"w{r.randrange(900)}" for _ in range(90)) for _ in range(6)]
+    check(spark, list(enumerate(base + [near(b, r, n) for b in base for n in (1, 1, 2, 3, 5)])))
+
+
+def test_components_stop(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        neardup.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"))
