@@ -61,15 +61,15 @@ def find(symbols: DataFrame, query: str | None = None, kind: str | None = None,
 def lookup(symbols: DataFrame, wanted: DataFrame, limit: int = 50) -> DataFrame:
     """q, place (from 1) and the symbols that an exact find of each q of wanted gives.
 
-    Two joins on equality; a symbol that matches by both names counts once. Of a name that very many
-    symbols have, each task passes on `limit` rows at most.
+    One join on equality, of each symbol by either name; one that matches by both counts once. Of a
+    name that very many symbols have, each task passes on `limit` rows at most.
     """
-    asked = wanted.select("q", x.fold(F.col("q")).alias("_q")).distinct()
-    rows = symbols.withColumns({"_s": x.fold(F.col("simple_name")), "_n": x.fold(F.col("name"))})
-    simple = rows.join(asked, F.col("_s") == F.col("_q")).withColumn("_r", F.lit(1))
-    full = rows.join(asked, (F.col("_n") == F.col("_q")) & (F.coalesce("_s", F.lit("")) != F.col("_q"))).withColumn("_r", F.lit(2))
+    asked = wanted.select("q", x.fold(F.col("q")).alias("_k")).distinct()
+    simple, full = x.fold(F.col("simple_name")), x.fold(F.col("name"))
+    known = F.array(F.struct(simple.alias("_k"), F.lit(1).alias("_r")), F.struct(F.when(~simple.eqNullSafe(full), full).alias("_k"), F.lit(2).alias("_r")))
+    rows = symbols.select(*symbols.columns, F.inline(known))
     order = Window.partitionBy("q").orderBy("_r", "line_number", "relative_path", "id")
-    best = simple.unionByName(full).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    best = rows.join(asked, "_k").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
     return best.select("q", "place", *symbols.columns)
 
 
