@@ -7,8 +7,8 @@ term, a search reads only the row groups whose terms can start with what it look
 from __future__ import annotations
 
 import re
-
 import unicodedata
+from functools import reduce
 from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,17 +115,24 @@ def bm25(post: DataFrame, lens: DataFrame, query: str, limit: int = 20, digits:
     The last part of each phrase matches as a prefix, except for one-letter words. A phrase that
     half of all rows or more hold weighs next to nothing.
     """
+    asked = list(enumerate(phrases(query)))
+    last = lambda parts: F.col("term") == parts[-1] if len(parts) == 1 and len(parts[0]) < 2 else F.col("term").startswith(parts[-1])
+    alone = [(i, last(parts)) for i, parts in asked if len(parts) == 1]
     found = None
-    for i, parts in enumerate(phrases(query)):
-        whole = len(parts) == 1 and len(parts[0]) < 2
-        hit = post.filter(F.col("term") == parts[-1] if whole else F.col("term").startswith(parts[-1]))
-        for back, part in enumerate(reversed(parts[:-1]), 1):
-            before = post.filter(F.col("term") == part).select("id", "col", (F.col("pos") + back).alias("pos"))
-            hit = hit.join(before, ["id", "col", "pos"], "left_semi")
-        one = hit.groupBy("id").agg(F.sum("weight").cast("double").alias("f")).withColumn("phrase", F.lit(i))
-        found = one if found is None else found.unionByName(one)
+    if alone:  # all words of one part in one scan
+        hits = post.filter(reduce(Column.__or__, [c for _, c in alone]))
+        found = hits.select("id", "weight", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in alone]))).alias("phrase"))
+    for i, parts in asked:
+        if len(parts) > 1:
+            hit = post.filter(last(parts))
+            for back, part in enumerate(reversed(parts[:-1]), 1):
+                before = post.filter(F.col("term") == part).select("id", "col", (F.col("pos") + back).alias("pos"))
+                hit = hit.join(before, ["id", "col", "pos"], "left_semi")
+            one = hit.select("id", "weight", F.lit(i).alias("phrase"))
+            found = one if found is None else found.unionByName(one)
     if found is None:
         return post.sparkSession.createDataFrame([], "id long, score double")
+    found = found.groupBy("id", "phrase").agg(F.sum("weight").cast("double").alias("f"))
     rows = found.groupBy("phrase").agg(F.count("*").alias("n"))  # a row for each phrase
     totals = lens.agg(F.count("*").alias("docs"), F.avg("d").alias("mean"))
     raw = F.ln((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
