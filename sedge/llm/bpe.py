@@ -166,8 +166,8 @@ def names_of(path: str) -> pa.Array:
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with `ids array<int>`, the token ids of its whole text (null text: no ids).
 
-    A column of docs named ids is replaced, all others pass through; an empty table gives an
-    empty table. path is the tokenizer file, which every worker opens.
+    Each row is encoded for itself, so rows that repeat an id or a text have ids each. A column of
+    docs named ids is replaced, all others pass through; an empty table gives an empty table. path is the tokenizer file, which every worker opens.
     """
     kept = common.without(docs, "ids")
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -185,7 +185,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """coded with `decoded string`, the tokens of its ids joined by a space each, as a tokenizer
-    file without a decoder asks for; special tokens stay. Null or no ids give an empty text."""
+    file without a decoder asks for; special tokens stay. Null or no ids give an empty text, rows that
+    repeat have texts each, an empty table gives an empty table."""
     kept = common.without(coded, "decoded")
     schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())])
 

@@ -145,7 +145,8 @@ def fit(texts: list[str], y: list[int], steps: int = STEPS) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs with `score` (0 to 1, higher: good likelier) and `predicted` (1 from threshold on).
 
-    Each text is scored whole; a null text counts as empty. Columns of docs that have these
+    Each text is scored whole and by itself, so rows that repeat have equal scores; a null text counts
+    as empty. Columns of docs that have these
     two names are replaced, all others pass through. An empty table gives an empty table.
     """
     kept = common.without(docs, "score", "predicted")
@@ -160,6 +161,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of a bounded sample, see common.fit_sample: ids that are labelled both ways, held-out ones
+    and texts of over FIT_MAX_CHARS code points take no part in it."""
     return fit(*common.fit_sample(docs, labels, "quality", FIT_PER_CLASS))
 
 

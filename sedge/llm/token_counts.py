@@ -60,7 +60,8 @@ def count(docs: DataFrame, path: str, sections=lines, rule: str = "most") -> Dat
 
     The numbers of a document add up to the tokens of its whole text, special tokens of the file in
     the text included. Null and empty texts have one empty section with no token. Rows that repeat
-    a doc_id give sections each; other columns do not matter. sections(text) returns the starts.
+    a doc_id give sections each; other columns do not matter. An empty table gives an empty table.
+    sections(text) returns the starts.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

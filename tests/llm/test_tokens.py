@@ -194,3 +194,19 @@ def test_large_ids_beside_nulls_and_hot_ids(spark):
         parts.sort()
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
     assert len({s >> 32 for s in by_seq}) > 1  # equal rows are dealt to several streams
+
+
+def test_very_long_texts_and_slices(spark, monkeypatch):
+    long = "Some words, and numbers 12345 in lines.\n" * 60_000  # 2.4 million characters
+    rows = docs(spark, [(1, long), (2, "short"), (2, "short"), (3, None)])
+    lib, out = library(WORD), bpe.decode(bpe.encode(rows, WORD), WORD).collect()
+    by = {r.doc_id: r for r in out}
+    assert len(out) == 4 and by[1].ids == lib.encode(long, add_special_tokens=False).ids and by[3].ids == []
+    assert by[1].decoded == lib.decode(by[1].ids, skip_special_tokens=False)
+    found = token_counts.count(rows, BYTE).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).collect()
+    assert {r.doc_id: r.n for r in found}[1] == len(library(BYTE).encode(long, add_special_tokens=False).ids)
+    batch = rows.toArrow().to_batches()[0]
+    pieces = list(common.slices([batch], rows=3, most=1000))
+    assert [p.num_rows for p in pieces] and sum(p.num_rows for p in pieces) == batch.num_rows
+    assert all(p.num_rows == 1 or p.nbytes <= 1000 for p in pieces)
+
