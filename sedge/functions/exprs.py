@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedge.functions import log_patterns
@@ -12,6 +12,15 @@ from sedge.functions import log_patterns
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A side of a join is only broadcast if an argument bounds it to so many rows.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has so many rows at most, to be broadcast if these are few; else as it is."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def fold(c: Column) -> Column:
     """Lower-cases A to Z only, as the NOCASE collation compares."""
     return F.translate(c, UPPER, LOWER)

@@ -106,9 +106,9 @@ def evolve(artifacts: DataFrame, threshold: float = THRESHOLD, capacity: int = C
         recent = recent.orderBy(F.desc("roi"), F.desc("id")).limit(capacity)
     kept = recent.select("id")
     if protect < capacity:
-        rest = alive.join(F.broadcast(kept), "id", "left_anti").select("id", "roi").orderBy(F.desc("roi"), F.desc("id")).limit(capacity - protect)
+        rest = alive.join(x.bounded(kept, protect), "id", "left_anti").select("id", "roi").orderBy(F.desc("roi"), F.desc("id")).limit(capacity - protect)
         kept = kept.unionByName(rest.select("id"))
-    marked = artifacts.join(F.broadcast(kept.withColumn("_kept", F.lit(True))), "id", "left")
+    marked = artifacts.join(x.bounded(kept.withColumn("_kept", F.lit(True)), capacity), "id", "left")
     fails = F.col("_kept").isNull()
     return marked.select("id", "roi", fails.alias("pruned"), F.when(F.col("roi") < threshold, low).when(fails, F.format_string("Capacity constraint (limit %d)", F.lit(capacity))).alias("reason"))
 

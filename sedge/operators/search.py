@@ -151,5 +151,5 @@ def search(symbols: DataFrame, query: str, limit: int = 20, index: tuple[DataFra
         post, lens = index or (postings(symbols), lengths(symbols))
         hits = bm25(post, lens, query, limit)
         if not hits.isEmpty():
-            return symbols.join(F.broadcast(hits), "id").orderBy("score", "id")
+            return symbols.join(x.bounded(hits, limit), "id").orderBy("score", "id")
     return find(symbols, query.strip(), limit=limit).withColumn("score", F.lit(None).cast("double"))

@@ -140,3 +140,10 @@ def test_walks_can_be_cleaned(spark):
     graph.written(spark.range(3))
     graph.clean(spark)
     assert graph.written(spark.range(3)).count() == 3
+
+
+def test_large_sides_are_not_broadcast(spark):
+    df = spark.range(3)
+    hinted = lambda rows: "broadcast" in x.bounded(df, rows)._jdf.queryExecution().logical().toString().lower()
+    assert hinted(10) and not hinted(x.BROADCAST_ROWS + 1)
+
