@@ -37,6 +37,9 @@ COLLISION = 2.0**-MANTISSA / 1.5
 
 #: Rounds of stars at most, and members of a bucket that meet its one row in one task.
 ROUNDS, HOT = 200, 100_000
+#: Bytes of a text, or hashes of a set, that are worked on at a time, so that a long text takes little more
+#: memory than its bytes and the 8 bytes of each of its words.
+SEGMENT = 1 << 18
 
 _LOG = logging.getLogger(__name__)
 _RNG = np.random.default_rng(20240601)
@@ -50,7 +53,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=8)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.ones(n, dtype=np.uint64), np.ones(n, dtype=np.uint64)
     if n > 1:
@@ -66,35 +69,80 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles of so many words (runs without ASCII white
-    space, A-Z lower-cased); of all its words if it has fewer; none without words."""
+def pieces(values: np.ndarray):
+    """The array in views of at most SEGMENT values."""
+    return (values[at : at + SEGMENT] for at in range(0, len(values), SEGMENT))
+
+
+def words_of(text: str | None) -> np.ndarray:
+    """A hash of each word (runs without ASCII white space, A-Z lower-cased), wherever it stands.
+
+    A word that goes on in the next segment is carried over as its sum so far and its length.
+    """
     b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    space = np.ones(len(b) + 2, dtype=bool)
-    space[1:-1] = _SPACE[b]
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    first, end = edge[::2], edge[1::2]
-    if not len(first):
-        return np.zeros(0, dtype=np.uint64)
-    up, down = _powers(1 << max(12, int(len(b)).bit_length()))
-    total = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[b]] * up[: len(b)], out=total[1:])
-    h = _mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64) * _PLACE[-1])
+    up, down = _powers(min(SEGMENT, 1 << max(12, len(b).bit_length())))
+    out, was, size = [np.zeros(0, dtype=np.uint64)], 0, 0
+    put = lambda sums, sizes: out.append(_mix(sums + sizes * _PLACE[-1]))
+    for part in pieces(b):
+        space = np.ones(len(part) + 2, dtype=bool)
+        space[1:-1] = _SPACE[part]
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        first, end = edge[::2], edge[1::2]
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[_LOWER[part]] * up[: len(part)], out=total[1:])
+        sums, sizes = (total[end] - total[first]) * down[first], (end - first).astype(np.uint64)
+        if size and len(first) and first[0] == 0:
+            sums[0] = (was + pow(_BASE, size, 1 << 64) * int(sums[0])) % (1 << 64)
+            sizes[0] += np.uint64(size)
+        elif size:
+            put(np.array([was], dtype=np.uint64), np.array([size], dtype=np.uint64))
+        was = size = 0
+        if len(end) and end[-1] == len(part):
+            was, size = int(sums[-1]), int(sizes[-1])
+            sums, sizes = sums[:-1], sizes[:-1]
+        put(sums, sizes)
+    if size:
+        put(np.array([was], dtype=np.uint64), np.array([size], dtype=np.uint64))
+    return np.concatenate(out)
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles of so many words (see words_of); of all its
+    words if it has fewer; none without words."""
+    h = words_of(text)
+    if not len(h):
+        return h
     k = min(words, len(h))
-    n = len(h) - k + 1
-    s = np.full(n, k, dtype=np.uint64)
-    for j in range(k):
-        s = (s ^ h[j : j + n]) * _PLACE[j % 15] + (s >> np.uint64(29))
-    return np.unique(_mix(s))
+    found = np.empty(len(h) - k + 1, dtype=np.uint64)
+    for at in range(0, len(found), SEGMENT):
+        n = min(SEGMENT, len(found) - at)
+        s = np.full(n, k, dtype=np.uint64)
+        for j in range(k):
+            s = (s ^ h[at + j : at + j + n]) * _PLACE[j % 15] + (s >> np.uint64(29))
+        found[at : at + n] = _mix(s)
+    del h
+    found.sort()
+    new = np.ones(len(found), dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found if new.all() else found[new]
+
+
+def shared_size(x: np.ndarray, y: np.ndarray) -> int:
+    """How many hashes two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return sum(int((y[np.minimum(np.searchsorted(y, part), len(y) - 1)] == part).sum()) for part in pieces(x))
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
     """REGISTERS numbers of 16 bits: leading zeros (up to 63) and mantissa, none of them empty."""
     m = np.uint64(REGISTERS)
-    bucket, rest = (hashes % m).astype(np.int64), hashes // m
-    order = np.lexsort((rest, bucket))
-    full, at = np.unique(bucket[order], return_index=True)
-    least = rest[order][at]
+    none = np.uint64(2**64 - 1)
+    least = np.full(REGISTERS, none)
+    for part in pieces(hashes):
+        np.minimum.at(least, (part % m).astype(np.int64), part // m)
+    full = np.flatnonzero(least != none)
+    least = least[full]
     bits = np.frexp(least.astype(np.float64))[1]
     shift = np.maximum(bits - 1 - MANTISSA, 0).astype(np.uint64)
     value = ((64 - bits).astype(np.uint64) << np.uint64(MANTISSA)) | ((least >> shift) & np.uint64((1 << MANTISSA) - 1))
@@ -104,6 +152,15 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return (value[source] ^ (gap.astype(np.uint64) * np.uint64(0x9E37))).astype(np.uint16)
 
 
+def name_of(hashes: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set, as two signed numbers."""
+    a = b = 0
+    for part in pieces(hashes):
+        a += int(_mix(part + np.uint64(1)).sum(dtype=np.uint64))
+        b += int(_mix(part ^ np.uint64(_BASE)).sum(dtype=np.uint64))
+    return tuple((x + (1 << 63)) % (1 << 64) - (1 << 63) for x in (a, b))
+
+
 def bands(regs: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band: its registers side by side, mixed with its number."""
     return _mix(regs.view("<u8") ^ _mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
@@ -121,8 +178,8 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                 if not len(h):
                     a.append(None), b.append(None), regs.append(None)
                     continue
-                a.append(int(_mix(h + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
-                b.append(int(_mix(h ^ np.uint64(_BASE)).sum(dtype=np.uint64).astype(np.int64)))
+                for column, x in zip((a, b), name_of(h)):
+                    column.append(x)
                 regs.append(registers(h).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "regs"])
 
@@ -183,7 +240,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 if ids[i] != last or text != was:
                     last, was, mine = ids[i], text, shingles(text, words)
                 other = shingles(tb[i].as_py(), words)
-                common_size = len(np.intersect1d(mine, other, assume_unique=True))
+                common_size = shared_size(mine, other)
                 keep.append(100 * common_size >= percent * (len(mine) + len(other) - common_size) and common_size > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -219,10 +276,13 @@ def tokens(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """id, s: the distinct shingles of the texts of these ids."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             sets = [shingles(t.as_py(), words) for t in batch.column("text")]
             ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), [len(h) for h in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["id", "s"])
+            every = np.concatenate(sets).view(np.int64)
+            del sets
+            for i, s in zip(pieces(ids), pieces(every)):
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s)], names=["id", "s"])
 
     return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, s long")
 
