@@ -117,12 +117,14 @@ def matched(lessons: DataFrame, incoming: DataFrame) -> DataFrame:
     """key, id: for each incoming lesson (key, name, scope, content) the first stored one (id, seq
     and the same) with its name, or with its scope and content (case and blanks aside).
 
-    Two joins on equality, not one on an OR.
+    Two joins on equality, not one on an OR. Of the stored lessons that share a name, or a scope and
+    content, only the first meets the incoming ones, so no join makes more rows than come in.
     """
     plain = lambda c: F.lower(F.trim(c))
+    first = [F.min_by("id", "seq").alias("id"), F.min("seq").alias("seq")]
     stored = lessons.select("id", "seq", plain(F.col("name")).alias("_n"), "scope", plain(F.col("content")).alias("_c"))
     new = incoming.select("key", plain(F.col("name")).alias("_n"), "scope", plain(F.col("content")).alias("_c"))
-    named, said = new.join(stored.select("id", "seq", "_n"), "_n"), new.join(stored.select("id", "seq", "scope", "_c"), ["scope", "_c"])
+    named, said = (new.join(stored.groupBy(*by).agg(*first), by) for by in (["_n"], ["scope", "_c"]))
     hits = named.select("key", "id", "seq").unionByName(said.select("key", "id", "seq"))
     return hits.groupBy("key").agg(F.min_by("id", "seq").alias("id"))
 
