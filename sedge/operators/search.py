@@ -89,6 +89,25 @@ def postings(symbols: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFrame
     return symbols.select("id", each).select("id", "e.col", "e.weight", F.posexplode("e.t").alias("pos", "term"))
 
 
+def vocabulary(symbols: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFrame:
+    """col, term, n (how often it stands there) and docs (how many ids have it there; null is none).
+
+    A row counts once for each of its terms, so nothing is held for a term and an id, unless the id
+    is that of several rows: only such rows are kept apart by it. Rows are dealt by id first; a table
+    in one file would else be tokenized in one task.
+    """
+    ids = symbols.select("id").filter(F.col("id").isNotNull()).repartition("id")
+    again = ids.groupBy("id").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("id", F.col("id").alias("_own"))
+    rows = symbols.select("id", *weights).join(again.hint("shuffle_hash"), "id", "left")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), terms(F.col(c)).alias("t")) for c in weights])).alias("e")
+    one = F.when(F.col("id").isNotNull(), 1).otherwise(0).alias("d")
+    said = F.transform("e.t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
+    held = F.transform(F.array_distinct("e.t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), one))
+    found = rows.select("id", "_own", each).select("_own", "e.col", F.inline(F.concat(said, held)))
+    parts = found.groupBy("col", "term", "_own").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return parts.groupBy("col", "term").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_own").isNull(), F.col("d")).otherwise(1)).alias("docs"))
+
+
 def lengths(symbols: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFrame:
     return symbols.select("id", sum((F.size(terms(F.col(c))) for c in weights), F.lit(0)).cast("long").alias("d"))
 

@@ -186,7 +186,7 @@ def bm25_fallback(t):
 
 @query(f"WITH {_POST} SELECT col, term, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT id) AS BIGINT) AS docs FROM post GROUP BY col, term")
 def tokenize_postings(t):
-    return search.postings(t.symbols()).groupBy("col", "term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
+    return search.vocabulary(t.symbols())
 
 
 _FILES = ["tests/helpers/data.py", "src/test_a.py", "src/a_test.py", "web/App.test.tsx", "web/app.spec.js", "pkg/x_test.go", "src/main/FooTest.java", "src/FooTestCase.java", "src/contest.py", "spec", "a/__tests__/b.ts", "lib/test-run.js", "src/latest.go", "x\\tests\\y.py"]
